@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.vectors import assigned, common_length, matrix, meet, packed, sampled
+from plumbline.llm.vectors import assigned, common_length, meet, packed, sampled
 
 PROBE = 0.75
 MAX_LISTS = 1024

@@ -2,7 +2,7 @@
 
 Heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation
 estimates, from the counts of the vote patterns of all documents, how often each labeller
-gives each vote on good and on bad documents. Posterior labels of a bounded sample
+is right where it votes. Posterior labels of a bounded sample
 (``SAMPLE`` documents of the smallest hash, a documented parameter) train a linear scorer
 on hashed features, which scores every document.
 
@@ -55,29 +55,23 @@ def measures(text: bytes) -> dict[str, float]:
     }
 
 
-#: name, measure, (bad from, good up to), or with the order turned (bad up to, good from)
-LABELLERS = (
-    ("symbols", "symbols", 0.02, 0.005),
-    ("capitals", "capitals", 0.3, 0.1),
-    ("bars", "bars", 0.1, 0.01),
-    ("shouts", "shouts", 0.3, 0.05),
-    ("repeats_words", "distinct", 0.42, 0.5),
-    ("no_sentences", "stops", 0.01, 0.04),
-    ("repeats_lines", "line_repeats", 0.3, 0.1),
-    ("long_words", "word_bytes", 9.0, 7.5),
+#: Labellers that vote bad where a measure is at least, or (negative) at most, so much.
+BAD_SIGNS = (("symbols", 0.02), ("capitals", 0.3), ("bars", 0.1), ("shouts", 0.3), ("distinct", -0.42), ("stops", -0.005), ("line_repeats", 0.3), ("word_bytes", 9.0))
+#: Labellers that vote good where every measure is inside its range.
+GOOD_SIGNS = (
+    {"symbols": (0, 0.01), "bars": (0, 0.01), "shouts": (0, 0.05), "capitals": (0, 0.15), "distinct": (0.48, 1), "line_repeats": (0, 0.15)},
+    {"symbols": (0, 0.005), "bars": (0, 0.01), "shouts": (0, 0.05), "capitals": (0, 0.1), "distinct": (0.5, 1), "stops": (0.02, 0.3)},
+    {"symbols": (0, 0.01), "bars": (0, 0.01), "shouts": (0, 0.1), "capitals": (0, 0.2), "distinct": (0.45, 1), "word_bytes": (3, 8)},
 )
-_LEAST_WORDS = 4
+LABELLERS = len(BAD_SIGNS) + len(GOOD_SIGNS)
+_LEAST_WORDS = 1
 
 
 def votes(m: dict[str, float]) -> list[int]:
     if m["words"] < _LEAST_WORDS:
-        return [NONE] * len(LABELLERS)
-    out = []
-    for _, name, bad, good in LABELLERS:
-        x = m[name] if bad > good else -m[name]
-        b, g = (bad, good) if bad > good else (-bad, -good)
-        out.append(BAD if x >= b else GOOD if x <= g else NONE)
-    return out
+        return [NONE] * LABELLERS
+    bad = [BAD if (m[name] >= x if x > 0 else m[name] <= -x) else NONE for name, x in BAD_SIGNS]
+    return bad + [GOOD if all(a <= m[name] <= b for name, (a, b) in ranges.items()) else NONE for ranges in GOOD_SIGNS]
 
 
 def features(text: bytes, m: dict[str, float], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -96,33 +90,34 @@ def features(text: bytes, m: dict[str, float], width: int = WIDTH) -> tuple[np.n
 
 @dataclass(frozen=True)
 class LabelModel:
-    """``given[c, j, v]``: probability that labeller j votes v on class c; ``prior[c]``."""
+    """Prior of the good class, and how often each labeller is right where it votes."""
 
-    prior: np.ndarray
-    given: np.ndarray
+    prior: float
+    accuracy: np.ndarray
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Probability that documents of these votes are good."""
-        score = np.log(self.prior)[:, None] + sum(np.log(self.given[:, j, patterns[:, j]]) for j in range(patterns.shape[1]))
-        return 1 / (1 + np.exp(np.clip(score[BAD] - score[GOOD], -500, 500)))
+        weight = np.log(self.accuracy) - np.log1p(-self.accuracy)
+        score = np.log(self.prior) - np.log1p(-self.prior) + (patterns == GOOD) @ weight - (patterns == BAD) @ weight
+        return 1 / (1 + np.exp(-np.clip(score, -500, 500)))
 
 
-def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, strength: float = 5.0) -> LabelModel:
-    """EM over distinct vote patterns; ``strength`` pseudo-counts hold it to its start."""
-    labellers = patterns.shape[1]
-    start = np.empty((2, labellers, 3))
-    start[GOOD], start[BAD] = (0.85, 0.05, 0.10), (0.35, 0.50, 0.15)
-    prior = np.array([0.85, 0.15])
-    model = LabelModel(prior, start)
+def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, strength: float = 20.0) -> LabelModel:
+    """EM over distinct vote patterns.
+
+    Whether a labeller votes says nothing of the class, only how it votes does. The classes
+    are held equal beforehand: most documents are good, and a learned prior would outvote
+    signs that only one labeller sees. All labellers start at an accuracy of 0.9, where
+    ``strength`` pseudo-votes hold them.
+    """
+    model = LabelModel(0.5, np.full(patterns.shape[1], 0.9))
     for _ in range(rounds):
         good = model.posterior(patterns)
-        share = np.stack([good, 1 - good]) * counts
-        given = strength * start
-        for v in range(3):
-            given[:, :, v] += share @ (patterns == v)
-        fresh = LabelModel((share.sum(axis=1) + strength * prior) / (counts.sum() + strength), given / given.sum(axis=2, keepdims=True))
-        settled = np.abs(fresh.given - model.given).max() < 1e-7
-        model = fresh
+        right = (good * counts) @ (patterns == GOOD) + ((1 - good) * counts) @ (patterns == BAD)
+        cast = counts @ (patterns != NONE)
+        accuracy = np.clip((right + 0.9 * strength) / (cast + strength), 0.5, 0.999)
+        settled = np.abs(accuracy - model.accuracy).max(initial=0) < 1e-9
+        model = LabelModel(0.5, accuracy)
         if settled:
             break
     return model
@@ -166,7 +161,7 @@ def annotate(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _votes_of(pattern: np.ndarray) -> np.ndarray:
-    return np.stack([pattern // 3**j % 3 for j in range(len(LABELLERS))], axis=1)
+    return np.stack([pattern // 3**j % 3 for j in range(LABELLERS)], axis=1)
 
 
 def _features_of(at: bytes, value: bytes) -> tuple[np.ndarray, np.ndarray]:

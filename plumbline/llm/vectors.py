@@ -60,7 +60,8 @@ def sampled(vectors: DataFrame, dim: int, dtype: str, most: int = 16_384) -> tup
 
 
 def matrix(blobs, dim: int, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype).reshape(-1, dim).astype(np.float64)
+    values = np.frombuffer(b"".join(blobs), dtype).astype(np.float64)
+    return values.reshape(-1, dim) if dim else values.reshape(0, 0)
 
 
 def assigned(vectors: DataFrame, nearest: Callable, dim: int, dtype: str) -> DataFrame:
