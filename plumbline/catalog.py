@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from plumbline.plans.oracle import oracle_sql
+from plumbline.plans.queries import queries
 
 FLAGSHIP = "bm25_top5"
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["FLAGSHIP", "oracle_sql", "queries"]
