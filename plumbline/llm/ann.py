@@ -83,7 +83,7 @@ def search(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     vectors = packed(df, id_col, vec_col, lambda x: (x, (x != 0).any(axis=1)), dtype)
     total, norm2 = vectors.agg(F.count("*"), F.max("norm2")).first()
     norm2 = float(norm2 or 0)
-    ids, sample = sampled(vectors, dim, dtype)
+    ids, sample = sampled(vectors, total, dim, dtype)
     lists = int(min(MAX_LISTS, max(1, round(total**0.5)), max(1, len(sample) // 4)))
     raised = lifted(sample, norm2) if len(sample) else np.zeros((1, dim + 1))
     centers = kmeans(raised, lists)

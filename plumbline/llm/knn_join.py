@@ -43,7 +43,7 @@ def search(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
     dim = common_length(df, vec_col)
     vectors = packed(df, id_col, vec_col, lambda x: (np.floor(scale * np.where(np.isfinite(x), x, 0)), np.ones(len(x), bool)), dtype)
     total = vectors.count()
-    pivots = sampled(vectors, dim, dtype, int(min(MAX_PIVOTS, max(1, round(total**0.5 / 2)))))[1]
+    pivots = sampled(vectors, total, dim, dtype, int(min(MAX_PIVOTS, max(1, round(total**0.5 / 2)))))[1]
     pivots = np.unique(pivots, axis=0) if len(pivots) else np.zeros((1, dim))
     data = assigned(vectors, lambda x: nearest(x, pivots), dim, dtype)
     summary = data.groupBy("list").agg(F.count("*").alias("size"), F.max("gap").alias("radius")).collect()  # at most MAX_PIVOTS rows

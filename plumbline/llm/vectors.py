@@ -53,9 +53,18 @@ def packed(df: DataFrame, id_col: str, vec_col: str, keep: Callable, dtype: str)
     return cut(source.mapInArrow(work, "id long, vec binary, norm2 double"))
 
 
-def sampled(vectors: DataFrame, dim: int, dtype: str, most: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, matrix) of a bounded sample: the rows of the smallest hashes."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(max(1, min(most, SAMPLE_BYTES // (8 * max(dim, 1))))).select("id", "vec").collect()
+def sampled(vectors: DataFrame, total: int, dim: int, dtype: str, most: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of a bounded sample of the ``total`` rows: those of the smallest hashes.
+
+    Only about twice as many rows are sorted, so that tasks together send the driver no more
+    as the table grows.
+    """
+    most = max(1, min(most, SAMPLE_BYTES // (8 * max(dim, 1))))
+    below = -(1 << 63) + int(min(1.0, 2 * most / max(total, 1)) * ((1 << 64) - 1))
+    ordered = lambda rows: rows.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "vec").collect()
+    rows = ordered(vectors.where(F.xxhash64("id") <= F.lit(min(below, (1 << 63) - 1))))
+    if len(rows) < min(most, total):  # ids that are alike share a hash
+        rows = ordered(vectors)
     return np.array([r["id"] for r in rows], np.int64), matrix([bytes(r["vec"]) for r in rows], dim, dtype)
 
 
