@@ -5,8 +5,8 @@ is the smallest distance, and are put into inverted lists by k-means centroids f
 bounded sample. Queries visit the nearest lists until these hold ``probe`` of all vectors
 (and always more than k). In a list, vectors and query are turned by one random rotation
 and scanned in blocks of columns; after each block a hypothesis test compares the partial
-distance, scaled to all dimensions, with the distance of the k-th best vector of the
-sample, and abandons candidates that are almost surely farther. What is left is scored
+distance, scaled to all dimensions, with the distance of the 2k-th best vector of the
+sample in the visited lists, and abandons candidates that are almost surely farther. What is left is scored
 exactly on the original vectors.
 
 ``probe`` 0.75 suits vectors without any cluster structure, whose lists tell little;
@@ -87,6 +87,7 @@ def search(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     lists = int(min(MAX_LISTS, max(1, round(total**0.5)), max(1, len(sample) // 4)))
     raised = lifted(sample, norm2) if len(sample) else np.zeros((1, dim + 1))
     centers = kmeans(raised, lists)
+    sample_list = nearest(raised, centers)[0]
     spin = np.linalg.qr(np.random.default_rng(3).standard_normal((dim + 1, dim + 1)))[0]
     data = assigned(vectors, lambda x: nearest(lifted(x, norm2), centers), dim, dtype)
     sizes = {r["list"]: r["count"] for r in data.groupBy("list").count().collect()}  # at most MAX_LISTS rows
@@ -98,11 +99,15 @@ def search(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
         order = np.argsort(half - np.column_stack((queries, np.zeros(len(queries)))) @ centers.T, axis=1, kind="stable")
         before = np.cumsum(counts[order], axis=1) - counts[order]
         visits = (before < wanted) & (counts[order] > 0)
+        # the floor counts sample vectors of visited lists only, and twice k of them, so that
+        # k vectors above it are found even if a test errs
+        visited = np.zeros((len(queries), lists), bool)
+        np.put_along_axis(visited, order, visits, axis=1)
         scores = queries @ sample.T
-        scores[query_ids[:, None] == ids] = -np.inf
+        scores[(query_ids[:, None] == ids) | ~visited[:, sample_list[: len(ids)]]] = -np.inf
         floors = np.full(len(queries), -np.inf)
-        if scores.shape[1] >= k:
-            floors = np.partition(scores, -k, axis=1)[:, -k]
+        if scores.shape[1] >= 2 * k:
+            floors = np.partition(scores, -2 * k, axis=1)[:, -2 * k]
         for n in np.flatnonzero(counts):
             which = np.flatnonzero((visits & (order == n)).any(axis=1))
             if len(which):

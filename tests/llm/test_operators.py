@@ -387,6 +387,7 @@ def test_ann_recall_on_table(spark):
     got = defaultdict(set)
     for r in ann.search(df, F.col("id") % 20 == 0).collect():
         got[r.query_id].add(r.id)
+    assert {len(v) for v in got.values()} == {20}
     rows = df.collect()
     x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
     found = []
