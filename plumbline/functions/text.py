@@ -21,7 +21,7 @@ def text_or_empty(c: Column) -> Column:
 
 def authors_text(authors: Column) -> Column:
     """Trimmed non-blank names, joined by commas."""
-    return F.array_join(F.filter(F.transform(authors, F.trim), lambda a: a != ""), ", ")
+    return F.array_join(F.filter(F.transform(authors, lambda a: F.trim(a)), lambda a: a != ""), ", ")
 
 
 def fielded_text(title: Column, abstract: Column, venue: Column, authors: Column | None = None) -> Column:
