@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from plumbline.llm.repeats import Symbols, Unit, Windows, find_repeats, mixed
+from plumbline.llm.repeats import CROWDED, Symbols, Unit, Windows, find_repeats, mixed
 from plumbline.llm.suffix_automaton import SuffixAutomaton
 
 GRAM = 5
@@ -75,13 +75,13 @@ def mark_by_automaton(texts: list[bytes], owners: np.ndarray, depth: int) -> np.
     return marks
 
 
-def windows(length: int, gram: int = GRAM) -> Windows:
+def windows(length: int, gram: int = GRAM, crowded: int = CROWDED) -> Windows:
     if not 1 <= gram <= length or length - gram + 1 > 62:
         raise ValueError("a gram has at least one word, and a window at most 62 grams")
-    return Windows(length, gram, lambda texts: read_words(texts, gram), lambda texts, owners: mark_by_automaton(texts, owners, length))
+    return Windows(length, gram, lambda texts: read_words(texts, gram), lambda texts, owners: mark_by_automaton(texts, owners, length), crowded)
 
 
-def mark_repeated_words(df: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mark_repeated_words(df: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """One row for each row of ``df``: its id, ``n_words``, the removed ``spans`` of words
     and ``kept``, the UTF-8 bytes of the words that stay, joined by single spaces."""
 
@@ -102,4 +102,4 @@ def mark_repeated_words(df: DataFrame, length: int = 13, id_col: str = "doc_id",
         })
 
     schema = f"`{id_col}` long, n_words long, spans array<struct<start:long,stop:long>>, kept binary"
-    return find_repeats(df.select(id_col, text_col), windows(length), id_col, text_col, finish, schema)
+    return find_repeats(df.select(id_col, text_col), windows(length, crowded=crowded), id_col, text_col, finish, schema)

@@ -17,6 +17,12 @@ bounded unit or one shard in a task:
    answers with one 64-bit mask for each segment.
 4. ``marking``: a unit applies the masks to all its documents.
 
+A minimizer with more than ``CROWDED`` different segments would fill one shard. The shards
+of pass 2 see this from counts that the units send, and units then ship such segments
+window by window, routed by the hash of the whole window: equal windows still meet, and no
+group has more than one content but for collisions. A passage that very many units hold
+counts once for each of them and may take this way too, at more bytes shipped.
+
 The hashes only route. What repeats is decided on the symbols themselves.
 """
 
@@ -39,6 +45,8 @@ UNIT_BYTES = 2 << 20
 UNIT_ROWS = 4096
 #: Bytes of text for each shard of the minimizers and of the segments.
 SHARD_BYTES = 16 << 20
+#: Different segments of one minimizer (summed over units) that one shard takes in.
+CROWDED = 1 << 14
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HASH_MASK = np.uint64((1 << 48) - 1)
 #: A shard's answer for a segment: the top bit says that the unit has its first document.
@@ -55,6 +63,8 @@ class Windows:
     read: Callable
     #: (distinct segments, owners) -> masks of the windows that repeat
     mark: Callable
+    #: different segments of one minimizer beyond which its windows are routed one by one
+    crowded: int = CROWDED
 
     @property
     def span(self) -> int:
@@ -124,6 +134,18 @@ def distinct_by_document(hashes: np.ndarray, documents: np.ndarray, ids: np.ndar
     return h[start], np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
 
 
+def distinct_contents(hashes: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Number of different ``sums`` of each distinct hash, in ascending order of the hashes."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((sums, hashes))
+    h, s = hashes[order], sums[order]
+    other = np.concatenate(([True], h[1:] != h[:-1]))
+    start = np.flatnonzero(other)
+    other[1:] |= s[1:] != s[:-1]
+    return np.add.reduceat(other.astype(np.int64), start)
+
+
 def _pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -149,32 +171,67 @@ class Unit:
         self.hashes, self.document, self.start, self.count = segments(self.symbols, windows)
         self.windows = windows
 
-    def contents(self, shared: np.ndarray):
-        """Distinct segments among ``shared`` ones: (bytes, hash, windows, smallest id), and
-        for each shared segment the number of its content."""
+    def sums(self) -> np.ndarray:
+        """For each segment the sum of its gram hashes, which tells contents apart."""
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.symbols.grams)))
+        at = self.symbols.offsets[self.document] + self.start
+        return total[at + self.count + self.windows.span - 1] - total[at]
+
+    def contents(self, pieces: Pieces):
+        """Distinct contents of ``pieces``: (bytes, hash, smallest id), and for each piece
+        the number of its content."""
         seen: dict[bytes, int] = {}
         content, ids = self.symbols.content, self.ids
-        numbers = np.empty(len(shared), np.int64)
+        numbers = np.empty(len(pieces.document), np.int64)
         length = self.windows.length - 1
-        for i, (d, s, n) in enumerate(zip(self.document[shared].tolist(), self.start[shared].tolist(), self.count[shared].tolist(), strict=True)):
+        for i, (d, s, n) in enumerate(zip(pieces.document.tolist(), pieces.start.tolist(), pieces.count.tolist(), strict=True)):
             numbers[i] = seen.setdefault(content(d, s, s + n + length), len(seen))
         owner = np.full(len(seen), np.iinfo(np.int64).max)
-        np.minimum.at(owner, numbers, ids[self.document[shared]])
+        np.minimum.at(owner, numbers, ids[pieces.document])
         first = np.zeros(len(seen), np.int64)
-        first[numbers[::-1]] = np.arange(len(shared))[::-1]
-        return list(seen), self.hashes[shared][first], self.count[shared][first], owner, numbers
+        first[numbers[::-1]] = np.arange(len(numbers))[::-1]
+        return list(seen), pieces.hashes[first], owner, numbers
 
-    def shared(self, answers) -> np.ndarray:
-        """Numbers of the segments whose minimizer the shards found in two documents."""
+    def shared(self, answers: Answers | None) -> Pieces:
+        """The segments whose minimizer the shards found in two documents, in order; those
+        of crowded minimizers window by window."""
+        none = np.zeros(0, np.int64)
         if not len(self.hashes) or answers is None:
-            return np.zeros(0, np.int64)
+            return Pieces(none, none, none, none.astype(np.uint64))
         known, _ = distinct_by_document(self.hashes, self.document, self.ids)
-        shards, bits = _shard(known, answers.shards), answers.bits
-        flags = np.zeros(len(known), bool)
-        for shard, blob in bits.items():
+        shards = _shard(known, answers.shards)
+        flags = np.zeros((2, len(known)), bool)
+        for shard, blob in answers.bits.items():
             at = np.flatnonzero(shards == shard)
-            flags[at] = np.unpackbits(np.frombuffer(blob, np.uint8), count=len(at)).astype(bool)
-        return np.flatnonzero(flags[np.searchsorted(known, self.hashes)])
+            both = np.frombuffer(blob, np.uint8).reshape(-1, -(-len(at) // 8))
+            flags[: len(both), at] = np.unpackbits(both, axis=1, count=len(at))
+        where = np.searchsorted(known, self.hashes)
+        at = np.flatnonzero(flags[0][where])
+        crowded = flags[1][where[at]]
+        parts = np.where(crowded, self.count[at], 1)
+        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        at, crowded = np.repeat(at, parts), np.repeat(crowded, parts)
+        document, start, hashes = self.document[at], self.start[at] + step, self.hashes[at]
+        hashes[crowded] = self._window_hashes(self.symbols.offsets[document[crowded]] + start[crowded])
+        return Pieces(document, start, np.where(crowded, 1, self.count[at]), hashes)
+
+    def _window_hashes(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows at symbols ``at``, of grams that cover every symbol."""
+        span, gram = self.windows.span, self.windows.gram
+        out = np.zeros(len(at), np.uint64)
+        for k in [*range(0, span - 1, gram), span - 1]:
+            out = mixed(out ^ self.symbols.grams[at + k])
+        return out
+
+
+@dataclass
+class Pieces:
+    """Segments, or single windows, of a unit: where they are and what routes them."""
+
+    document: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    hashes: np.ndarray
 
 
 @dataclass
@@ -253,16 +310,18 @@ def find_repeats(df: DataFrame, windows: Windows, id_col: str, text_col: str, fi
                 known, several = distinct_by_document(unit.hashes, unit.document, unit.ids)
                 shard = _shard(known, shards)
                 owner = _owners(unit, known)
+                kinds = np.minimum(distinct_contents(unit.hashes, unit.sums()), 0xFFFF).astype("<u2")
                 for s, at in _runs(shard):
                     low = (known[at] & _HASH_MASK).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                     # an id tells apart the documents of different units
-                    yield pd.DataFrame({"shard": [s], "unit": [name], "hashes": [low.tobytes()], "several": [np.packbits(several[at]).tobytes()], "ids": [zstandard.compress(owner[at].tobytes(), 1)]})
+                    yield pd.DataFrame({"shard": [s], "unit": [name], "hashes": [low.tobytes()], "several": [np.packbits(several[at]).tobytes()], "kinds": [zstandard.compress(kinds[at].tobytes(), 1)], "ids": [zstandard.compress(owner[at].tobytes(), 1)]})
 
     def answer_minimizers(frame):
         hashes = [np.frombuffer(b, np.uint8).reshape(-1, 6) for b in frame["hashes"]]
         sizes = [len(h) for h in hashes]
         several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(frame["several"], sizes, strict=True)])
         ids = np.concatenate([np.frombuffer(zstandard.decompress(b), np.int64) for b in frame["ids"]])
+        kinds = np.concatenate([np.frombuffer(zstandard.decompress(b), "<u2") for b in frame["kinds"]])
         wide = np.zeros((len(several), 8), np.uint8)
         wide[:, :6] = np.concatenate(hashes)
         value = wide.view("<u8").ravel()
@@ -271,14 +330,15 @@ def find_repeats(df: DataFrame, windows: Windows, id_col: str, text_col: str, fi
         start = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
         shared = np.logical_or.reduceat(several[order], start)
         shared |= np.minimum.reduceat(ids[order], start) != np.maximum.reduceat(ids[order], start)
-        out = np.empty(len(order), bool)
-        out[order] = np.repeat(shared, np.diff(np.append(start, len(order))))
+        crowded = shared & (np.add.reduceat(kinds[order], start, dtype=np.int64) > windows.crowded)
+        out = np.empty((2, len(order)), bool)
+        out[:, order] = np.repeat(np.stack((shared, crowded)), np.diff(np.append(start, len(order))), axis=1)
         stops = np.cumsum(sizes)[:-1]
-        found = [np.packbits(part).tobytes() if part.any() else None for part in np.split(out, stops)]
+        found = [np.packbits(part[: 1 + part[1].any()], axis=1).tobytes() if part[0].any() else None for part in np.split(out, stops, axis=1)]
         rows = pd.DataFrame({"unit": frame["unit"], "shard": frame["shard"], "answer": found})
         return rows[rows["answer"].notna()]
 
-    shipped = units.select("unit", "blob").mapInPandas(ship_minimizers, "shard int, unit string, hashes binary, several binary, ids binary")
+    shipped = units.select("unit", "blob").mapInPandas(ship_minimizers, "shard int, unit string, hashes binary, several binary, kinds binary, ids binary")
     flags = cut(_by_shard(shipped, shards, answer_minimizers, "unit string, shard int, answer binary"))
     release(spark)
 
@@ -286,13 +346,13 @@ def find_repeats(df: DataFrame, windows: Windows, id_col: str, text_col: str, fi
         for frame in frames:
             for name, blob, packed in zip(frame["unit"], frame["blob"], frame["answers"], strict=True):
                 unit = Unit(blob, windows, "i", "t")
-                texts, hashes, counts, owner, _ = unit.contents(unit.shared(_answers(packed, shards)))
+                texts, hashes, owner, _ = unit.contents(unit.shared(_answers(packed, shards)))
                 shard = _shard(hashes, shards)
                 order = np.argsort(shard, kind="stable")
                 for s, at in _runs(shard[order]):
                     mine = order[at]
                     chosen = [texts[i] for i in mine]
-                    head = np.column_stack((hashes[mine].view(np.int64), owner[mine], np.fromiter(map(len, chosen), np.int64, len(chosen)), counts[mine]))
+                    head = np.column_stack((hashes[mine].view(np.int64), owner[mine], np.fromiter(map(len, chosen), np.int64, len(chosen))))
                     yield pd.DataFrame({"shard": [s], "unit": [name], "heads": [zstandard.compress(head.T.tobytes(), 1)], "texts": [zstandard.compress(b"".join(chosen), 3)]})
 
     def answer_segments(frame):
@@ -333,7 +393,7 @@ def _match(frame: pd.DataFrame, windows: Windows) -> list[bytes]:
     owners: list[int] = []
     asked: list[list[tuple[int, int]]] = []
     for heads, texts in zip(frame["heads"], frame["texts"], strict=True):
-        head = np.frombuffer(zstandard.decompress(heads), np.int64).reshape(4, -1)
+        head = np.frombuffer(zstandard.decompress(heads), np.int64).reshape(3, -1)
         text, at, mine = zstandard.decompress(texts), 0, []
         for h, owner, size in zip(head[0].tolist(), head[1].tolist(), head[2].tolist(), strict=True):
             group = groups.setdefault(h, {})
@@ -380,24 +440,24 @@ def _covered(unit: Unit, answers: Answers | None, found, shards: int) -> list[np
     none = np.zeros((0, 2), np.int64)
     out = [none] * len(unit.texts)
     shared = unit.shared(answers)
-    if not len(shared) or found is None:
+    if not len(shared.document) or found is None:
         return out
-    texts, hashes, counts, owner, numbers = unit.contents(shared)
+    texts, hashes, owner, numbers = unit.contents(shared)
     shard = _shard(hashes, shards)
     masks = np.zeros(len(texts), np.uint64)
     order = np.argsort(shard, kind="stable")
     got = {r["shard"]: r["answer"] for r in found}
     for s, at in _runs(shard[order]):
         masks[order[at]] = np.frombuffer(zstandard.decompress(got[s]), np.uint64)
-    first = unit.ids[unit.document[shared]] == owner[numbers]
+    first = unit.ids[shared.document] == owner[numbers]
     mask = masks[numbers]
     whole = ~(first & (mask & FIRST_HERE > 0))
-    count = unit.count[shared]
-    repeated = np.repeat(np.arange(len(shared)), count)
+    count = shared.count
+    repeated = np.repeat(np.arange(len(count)), count)
     step = np.arange(len(repeated)) - np.repeat(np.cumsum(count) - count, count)
     hit = whole[repeated] | ((mask[repeated] >> step.astype(np.uint64)) & np.uint64(1) > 0)
-    document = unit.document[shared][repeated[hit]]
-    start = unit.start[shared][repeated[hit]] + step[hit]
+    document = shared.document[repeated[hit]]
+    start = shared.start[repeated[hit]] + step[hit]
     if not len(start):
         return out
     length = unit.windows.length

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.repeats import Symbols, Unit, Windows, find_repeats, mixed
+from plumbline.llm.repeats import CROWDED, Symbols, Unit, Windows, find_repeats, mixed
 from plumbline.llm.suffix_index import MAX_SYMBOLS, mark_earlier
 
 GRAM = 20
@@ -50,12 +50,12 @@ def _mark(texts: list[bytes], owners: np.ndarray, depth: int) -> np.ndarray:
     return marks
 
 
-def windows(length: int, gram: int = GRAM) -> Windows:
+def windows(length: int, gram: int = GRAM, crowded: int = CROWDED) -> Windows:
     if not 8 <= gram < length:
         raise ValueError("grams have at least 8 bytes and fewer than a window")
     if length - gram + 1 > 62:
         raise ValueError("a window holds at most 62 grams")
-    return Windows(length, gram, lambda texts: read_bytes(texts, gram), lambda texts, owners: _mark(texts, owners, length))
+    return Windows(length, gram, lambda texts: read_bytes(texts, gram), lambda texts, owners: _mark(texts, owners, length), crowded)
 
 
 def cut_spans(text: bytes, spans: np.ndarray) -> bytes:
@@ -66,7 +66,7 @@ def cut_spans(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def mark_repeated_bytes(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mark_repeated_bytes(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """One row for each row of ``df``: its id, ``n_bytes``, the removed ``spans`` and ``kept`` bytes."""
 
     def finish(unit: Unit, covered: list[np.ndarray]):
@@ -80,7 +80,7 @@ def mark_repeated_bytes(df: DataFrame, length: int = 50, id_col: str = "doc_id",
         })
 
     schema = f"`{id_col}` long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
-    return find_repeats(df.select(id_col, text_col), windows(length), id_col, text_col, finish, schema)
+    return find_repeats(df.select(id_col, text_col), windows(length, crowded=crowded), id_col, text_col, finish, schema)
 
 
 def remove_repeated_bytes(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

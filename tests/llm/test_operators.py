@@ -37,6 +37,22 @@ def table(spark, name):
     return spark.read.parquet(f"{SF}/{name}.parquet")
 
 
+def repeat_case(spark, which):
+    """Documents, and the limit of segments for a minimizer: the crowded phrase exceeds it."""
+    if which == "table":
+        return table(spark, "documents"), {}
+    if which == "edge":
+        return edge_documents(spark), {}
+    rng = random.Random(11)
+    phrase = "one phrase of many words that very many different texts hold"
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(200):
+        before, after = (" ".join(rng.choice(words[: rng.choice((1, 2, 40))]) for _ in range(4)) for _ in range(2))
+        rows.append((i, f"{before} {phrase} {after}" * (1 + i % 2), "a"))
+    return documents(spark, rows + edge_documents(spark).select("doc_id", "text", "source").collect()).repartition(5), {"crowded": 3}
+
+
 def repeats(seqs, length):
     """{row: covered positions}; a window counts if it starts in a document of a smaller id."""
     low = {}
@@ -58,29 +74,29 @@ def runs(hit):
     return sum(1 for i in hit if i - 1 not in hit)
 
 
-@pytest.mark.parametrize("which", ["table", "edge"])
+@pytest.mark.parametrize("which", ["table", "edge", "crowded"])
 def test_suffix_dedup(spark, which):
-    df = table(spark, "documents") if which == "table" else edge_documents(spark)
+    df, limit = repeat_case(spark, which)
     rows = df.select(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))).collect()
     seqs = [(r[0], r[1].encode()) for r in rows]
     want = Counter()
     for (d, s), hit in zip(seqs, repeats(seqs, 50), strict=True):
         kept = bytes(b for i, b in enumerate(s) if i not in hit)
         want[(d, len(s), len(hit), runs(hit), hashlib.sha256(kept).hexdigest())] += 1
-    found = suffix_dedup.mark_repeated_bytes(df).collect()
+    found = suffix_dedup.mark_repeated_bytes(df, **limit).collect()
     got = Counter((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in found)
     assert got == want
 
 
-@pytest.mark.parametrize("which", ["table", "edge"])
+@pytest.mark.parametrize("which", ["table", "edge", "crowded"])
 def test_automaton_dedup(spark, which):
-    df = table(spark, "documents") if which == "table" else edge_documents(spark)
+    df, limit = repeat_case(spark, which)
     rows = df.select(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))).collect()
     seqs = [(r[0], tuple(r[1].encode().split())) for r in rows]
     want = Counter()
     for (d, s), hit in zip(seqs, repeats(seqs, 13), strict=True):
         want[(d, len(s), len(hit), b" ".join(w for i, w in enumerate(s) if i not in hit))] += 1
-    found = automaton_dedup.mark_repeated_words(df).collect()
+    found = automaton_dedup.mark_repeated_words(df, **limit).collect()
     got = Counter((-1 if r.doc_id is None else r.doc_id, r.n_words, sum(s.stop - s.start for s in r.spans), bytes(r.kept)) for r in found)
     assert got == want
 
