@@ -47,6 +47,8 @@ UNIT_ROWS = 4096
 SHARD_BYTES = 16 << 20
 #: Different segments of one minimizer (summed over units) that one shard takes in.
 CROWDED = 1 << 14
+#: Symbols that are hashed at a time, so that the arrays stay in a core's cache.
+BLOCK = 1 << 14
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HASH_MASK = np.uint64((1 << 48) - 1)
 #: A shard's answer for a segment: the top bit says that the unit has its first document.
@@ -92,6 +94,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _lows(values: np.ndarray, span: int) -> np.ndarray:
     """Minimum of each run of ``span`` values."""
+    out = np.empty(max(len(values) - span + 1, 0), values.dtype)
+    for at in range(0, len(out), BLOCK):
+        to = min(at + BLOCK, len(out))
+        out[at:to] = _block_lows(values[at : to + span - 1], span)
+    return out
+
+
+def _block_lows(values: np.ndarray, span: int) -> np.ndarray:
     done = 1
     while done * 2 <= span:
         values = np.minimum(values[:-done], values[done:])

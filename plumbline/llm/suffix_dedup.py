@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.repeats import CROWDED, Symbols, Unit, Windows, find_repeats, mixed
+from plumbline.llm.repeats import BLOCK, CROWDED, Symbols, Unit, Windows, find_repeats, mixed
 from plumbline.llm.suffix_index import MAX_SYMBOLS, mark_earlier
 
 GRAM = 20
@@ -30,9 +30,13 @@ def read_bytes(texts: list[bytes], gram: int) -> Symbols:
     n = int(offsets[-1])
     raw = np.frombuffer(b"".join(texts) + bytes(gram + 8), np.uint8)
     words = np.ascontiguousarray(np.lib.stride_tricks.as_strided(raw, (n + gram, 8), (1, 1))).view("<u8").ravel()
-    grams = mixed(words[:n])
-    for k in [*range(8, gram - 8, 8), gram - 8]:
-        grams = mixed(grams ^ words[k : k + n])
+    grams = np.empty(n, np.uint64)
+    for at in range(0, n, BLOCK):
+        to = min(at + BLOCK, n)
+        part = mixed(words[at:to])
+        for k in [*range(8, gram - 8, 8), gram - 8]:
+            part = mixed(part ^ words[at + k : to + k])
+        grams[at:to] = part
     # grams past the last document only pad the last windows
     return Symbols(np.append(grams, np.zeros(gram, np.uint64)), offsets, lambda d, a, b: texts[d][a:b])
 
