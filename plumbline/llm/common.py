@@ -6,7 +6,7 @@ import gc
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters outside space and U+0009 to U+000D.
@@ -42,6 +42,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A digest of a row's id and text, equal only where both are; a null text counts as empty."""
+    id_ = F.col(f"`{id_col}`").cast("string")
+    named = F.coalesce(F.concat(F.length(id_).cast("string"), F.lit(":"), id_), F.lit("-"))
+    return F.unhex(F.sha2(F.concat(named, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), 256))
+
 
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """A string column as binary without copying text; null stays null."""

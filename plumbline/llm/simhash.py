@@ -281,9 +281,7 @@ def _classes(prints: DataFrame, search, id_col: str) -> DataFrame:
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``df`` with one document, that of the smallest id, of each class; of rows that repeat
-    an id, one row stays."""
-    classes = similar_documents(df, id_col, text_col, shingle, similarity)
-    keep = classes.where(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("_keep")).distinct()
-    kept = df.join(keep, df[id_col].eqNullSafe(keep["_keep"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """``df`` with one row of each class of similar texts; see ``plumbline.llm.similar``."""
+    from plumbline.llm import similar
+
+    return similar.drop_similar(df, id_col, text_col, shingle, similarity)

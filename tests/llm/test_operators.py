@@ -206,6 +206,40 @@ def test_similar_documents(spark):
     assert len(kept) <= 63 and {r for r in range(0, n, 2)} <= kept
 
 
+def test_drop_similar_is_exact(spark):
+    """Against all pairs, in chains, crowds and one common passage, at three similarities."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for _ in range(40):
+        text = [rng.choice(words) for _ in range(rng.choice((20, 100, 150)))]
+        for _ in range(5):
+            texts.append(" ".join(text))
+            text = list(text)
+            for _ in range(rng.choice((0, 1, 2, 3, 4))):
+                text[rng.randrange(len(text))] = rng.choice(words)
+    texts += [" ".join([*passage, *rng.choices(words, k=rng.choice((2, 8, 40)))]) for _ in range(120)]
+    texts += ["", None, " \n", "one", "One", "one two three four", "a b c d e", "a b c d e f", "same words all of them " * 9]
+    df = documents(spark, [(i, t, "a") for i, t in enumerate(texts)]).repartition(5)
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [grams(t) for t in texts]
+    for similarity in (0.7, 0.75, 0.8):
+        root = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = len(a & sets[j])
+                if both / (len(a) + len(sets[j]) - both) >= similarity - 1e-12:
+                    x, y = root[i], root[j]
+                    root = [min(x, y) if r in (x, y) else r for r in root]
+        got = sorted(r.doc_id for r in simhash.drop_similar(df, similarity=similarity).collect())
+        assert got == sorted(set(root)), similarity
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(200)] + [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(150)] + [(5000, 5000)]
