@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, cut
+from plumbline.llm.common import as_bytes, cut, row_key
 
 SAMPLE = 8192
 WIDTH = 1 << 11
@@ -141,23 +141,23 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, widt
 
 
 def annotate(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, pattern, at, value)``: votes as a number in base 3, and packed features."""
+    """``(id, key, pattern, at, value)``: votes as a number in base 3, and packed features."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pattern, at, value = [], [], []
-            for item in as_bytes(batch.column(1)):
+            for item in as_bytes(batch.column(2)):
                 text = item.as_py() or b""
                 m = measures(text)
                 pattern.append(sum(v * 3**j for j, v in enumerate(votes(m))))
                 a, b = features(text, m)
                 at.append(a.tobytes())
                 value.append(b.astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pattern, pa.int64()), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["id", "pattern", "at", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pattern, pa.int64()), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["id", "key", "pattern", "at", "value"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return source.mapInArrow(work, f"id {kind}, pattern long, at binary, value binary")
+    source = df.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return source.mapInArrow(work, f"id {kind}, key binary, pattern long, at binary, value binary")
 
 
 def _votes_of(pattern: np.ndarray) -> np.ndarray:
@@ -179,6 +179,11 @@ def _smallest_hashes(noted: DataFrame, total: int, sample: int) -> list:
 
 def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``(id_col, posterior, score, good)`` for each row of ``df``."""
+    return _scored(df, id_col, text_col, sample).drop("key").withColumnRenamed("id", id_col)
+
+
+def _scored(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> DataFrame:
+    """As ``score_quality``, with the id in ``id`` and the row's digest in ``key``."""
     noted = cut(annotate(df, id_col, text_col))
     found = noted.groupBy("pattern").count().collect()  # at most 3 ** labellers rows
     patterns = _votes_of(np.array([r["pattern"] for r in found], np.int64))
@@ -189,18 +194,18 @@ def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pattern = batch.column(1).to_numpy()
-            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            pattern = batch.column(2).to_numpy()
+            pairs = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
             margin = np.array([float(weights[a] @ v + weights[-1]) for a, v in (_features_of(*p) for p in pairs)], float)
             score = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
             posterior = model.posterior(_votes_of(pattern)) if len(pattern) else score
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(posterior), pa.array(score), pa.array(score >= 0.5)], ["id", "posterior", "score", "good"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(posterior), pa.array(score), pa.array(score >= 0.5)], ["id", "key", "posterior", "score", "good"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return noted.mapInArrow(work, f"id {kind}, posterior double, score double, good boolean").withColumnRenamed("id", id_col)
+    return noted.mapInArrow(work, f"id {kind}, key binary, posterior double, score double, good boolean")
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows whose id has a rejected text; its columns stay."""
-    rejected = score_quality(df, id_col, text_col).where("not good").select(F.col(id_col).alias("_id")).distinct()
-    return df.join(rejected, df[id_col].eqNullSafe(rejected["_id"]), "left_anti")
+    """``df`` without the rows that are rejected, told apart by id and text; its columns stay."""
+    rejected = _scored(df, id_col, text_col).where("not good").select(F.col("key").alias("_key")).distinct()
+    return df.withColumn("_key", row_key(id_col, text_col)).join(rejected, "_key", "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))

@@ -240,6 +240,26 @@ def test_drop_similar_is_exact(spark):
         assert got == sorted(set(root)), similarity
 
 
+def test_rows_of_one_id_keep_their_texts(spark):
+    """Null and repeated ids: only the rows judged duplicate or bad go."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(9)]
+    ids = [None, None, None, 5, 5, 5, 6, 7, 8]
+    near = [(9, texts[0] + " more", "a"), (None, texts[3], "a"), (5, texts[4], "a"), (5, texts[4], "b"), (5, texts[8], "a")]
+    kept = simhash.drop_similar(documents(spark, [*((i, t, "a") for i, t in zip(ids, texts, strict=True)), *near])).collect()
+    want = [*zip(ids, texts, strict=True)]
+    want[3], want[8] = (None, texts[3]), (5, texts[8])
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(want)
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.when(F.col("doc_id") % 3 == 1, F.lit(1))).otherwise(F.col("doc_id")))
+    key = F.coalesce(F.col("doc_id"), F.lit(-1))
+    scored = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "lang", "source", "n_chars").localCheckpoint()
+    by_row = {r.row: r.good for r in quality._scored(scored, "doc_id", "text").join(scored.withColumn("key", quality.row_key("doc_id", "text")), "key").select("row", "good").collect()}
+    assert not all(by_row.values())
+    want = Counter((r.id, r.text) for r in scored.select("row", key.alias("id"), "text").collect() if by_row[r.row])
+    assert Counter((r.id, r.text) for r in quality.keep_good(scored).select(key.alias("id"), "text").collect()) == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(200)] + [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(150)] + [(5000, 5000)]
