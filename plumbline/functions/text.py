@@ -66,12 +66,17 @@ def whitespace_terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text_or_empty(text)), SPACE), lambda t: t != "")
 
 
-def normalized_claim(text: Column, narrow: bool = False) -> Column:
-    """A claim without URLs, mentions, emoji and hash signs; the claim itself if nothing is left."""
+def stripped_claim(text: Column, narrow: bool = False) -> Column:
+    """A claim without URLs, mentions, emoji and hash signs."""
     out = F.regexp_replace(text, r"https?://[^\s]+|www\.[^\s]+", "")
     out = F.regexp_replace(out, r"@[\p{L}\p{N}_]+", "")
     out = F.regexp_replace(out, SYMBOLS_NARROW if narrow else SYMBOLS, " ")
-    out = F.trim(F.regexp_replace(F.replace(out, F.lit("#"), F.lit(" ")), SPACE, " "))
+    return F.trim(F.regexp_replace(F.replace(out, F.lit("#"), F.lit(" ")), SPACE, " "))
+
+
+def normalized_claim(text: Column, narrow: bool = False) -> Column:
+    """``stripped_claim``, or the claim itself if nothing is left."""
+    out = stripped_claim(text, narrow)
     return F.when(out == "", text).otherwise(out)
 
 

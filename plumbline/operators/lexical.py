@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,6 +15,12 @@ from plumbline.functions.stemmer import stems
 DEPTH = 2000
 
 
+class Translator(Protocol):
+    """Adds a string column ``translated`` to rows with ``lang`` and a normalised ``text``; null where it failed."""
+
+    def __call__(self, claims: DataFrame) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class LexicalParams:
     k1: float = 2.5
@@ -23,6 +30,7 @@ class LexicalParams:
     translate: bool = True
     expand: bool = True
     stop_words: tuple[str, ...] = field(default=())
+    translator: Translator | None = None
 
 
 VANILLA = LexicalParams(k1=1.5, b=0.75, bigrams=False, translate=False)
@@ -87,7 +95,27 @@ def bm25_weight(idf_: Column, tf: Column, dl: Column, avgdl: Column, k1: float,
     return idf_ * tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * length)
 
 
+def translated(claims: DataFrame, params: LexicalParams) -> DataFrame:
+    """``(query_idx, text)`` of the claims as they are searched with a translator.
+
+    A claim whose language is exactly ``en`` stays. Any other is normalised, translated and
+    followed by its distinctive terms; it is searched normalised where translation failed,
+    and as it is where normalisation leaves nothing.
+    """
+    english = F.col("lang").eqNullSafe("en")
+    foreign = claims.where(~english).select("query_idx", "lang", F.col("text").alias("raw"), X.stripped_claim(F.col("text")).alias("text"))
+    bare = F.coalesce(F.col("text") == "", F.lit(True))
+    said = params.translator(foreign.where(~bare))
+    terms = X.distinctive_terms(F.col("text"), list(params.stop_words))
+    whole = F.when(F.col("translated").isNull(), F.col("text")).otherwise(F.trim(F.concat_ws(" ", "translated", terms)))
+    out = claims.where(english).select("query_idx", "text").unionByName(foreign.where(bare).select("query_idx", F.col("raw").alias("text")))
+    return out.unionByName(said.select("query_idx", whole.alias("text")))
+
+
 def query_terms(claims: DataFrame, params: LexicalParams) -> DataFrame:
+    """``(term, query_idx, qtf)``; without a translator claims are searched as they are."""
+    if params.translate and params.translator is not None:
+        claims = translated(claims, params)
     return term_frequency(tokens(claims, "query_idx", F.col("text"), params), "query_idx").withColumnRenamed("tf", "qtf")
 
 

@@ -41,6 +41,23 @@ def test_bm25_by_hand(spark, small):
     assert [(r.query_idx, r.doc_idx, r.rank) for r in ranked] == [(0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 1, 0), (1, 0, 1), (1, 2, 2), (2, 0, 0), (2, 1, 1), (2, 2, 2)]
 
 
+def test_translator(spark):
+    claims = spark.createDataFrame([("en", 0, "Some https://a.b words"), ("de", 1, "Unser @me Apfelbaum, unser #Apfelbaum https://a.b/chartreuse"), ("fr", 2, "@me https://a.b"), ("es", 3, "#fallido"), (None, 4, None)], "lang string, query_idx long, text string")
+
+    def translator(rows):
+        return rows.withColumn("translated", F.when(F.col("lang") == "de", F.concat(F.lit("our tree: "), F.lower("text"))))
+
+    asked = LexicalParams(bigrams=False, translator=translator)
+    assert {r.query_idx: r.text for r in lexical.translated(claims, asked).collect()} == {
+        0: "Some https://a.b words", 1: "our tree: unser apfelbaum, unser apfelbaum apfelbaum", 2: "@me https://a.b", 3: "fallido", 4: None,
+    }
+    terms = {(r.query_idx, r.term): r.qtf for r in lexical.query_terms(claims, asked).collect()}
+    assert terms[1, "tree"] == 1 and terms[1, "apfelbaum"] == 3 and (1, "https") not in terms
+    for params in (PLAIN, LexicalParams(bigrams=False, translate=False, translator=translator)):
+        terms = {(r.query_idx, r.term): r.qtf for r in lexical.query_terms(claims, params).collect()}
+        assert terms[1, "https"] == 1 and (1, "tree") not in terms
+
+
 def test_index_round_trip_and_stream(spark, small, tmp_path):
     docs, claims, index = small
     index.write(f"{tmp_path}/index")
