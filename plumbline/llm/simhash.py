@@ -20,7 +20,6 @@ shingle form one shingle; repeated rows are linked; a null id sorts before all o
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -228,47 +227,11 @@ def _solve(rows: DataFrame, radius: int, partitions: int) -> DataFrame:
     return rows.select("mask", "value", "print").repartition(partitions, "mask", "value").sortWithinPartitions("mask", "value", "print").mapInPandas(work, f"a {kind}, b {kind}")
 
 
-def similarity_radius(similarity: float, bits: int) -> int:
-    """Expected differing bits of two shingle sets of equal size with that Jaccard similarity,
-    and one standard deviation, so that most pairs at the threshold itself are linked."""
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * differ + math.sqrt(bits * differ * (1 - differ)))
-
-
-def sampled_links(prints: DataFrame, radius: int, tables: int = 50, bits: int = 15) -> DataFrame:
-    """As ``links`` for wide fingerprints, whose radius is too large to split bits into blocks.
-
-    Shards are ``tables`` samples of ``bits`` bits; two fingerprints of which a share d of
-    the bits differ meet in one of them with probability 1 - (1 - (1 - d)**bits)**tables
-    (98.8% at similarity 0.8). More documents want more bits and tables.
-    """
-
-    def ship(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chosen = None
-        for frame in frames:
-            spread = np.unpackbits(np.frombuffer(b"".join(frame["print"]), np.uint8).reshape(len(frame), -1), axis=1)
-            if chosen is None:
-                chosen = [np.random.default_rng((7, t)).choice(spread.shape[1], bits, replace=False) for t in range(tables)]
-            weight = np.int64(1) << np.arange(bits)
-            for t, at in enumerate(chosen):
-                yield pd.DataFrame({"mask": np.int64(t), "value": spread[:, at] @ weight, "print": frame["print"]})
-
-    rows = prints.select("print").mapInPandas(ship, "mask long, value long, print binary")
-    return _solve(rows, radius, shuffle_partitions(prints.sparkSession))
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """``(id_col, print, component)`` for each row; the component is its smallest id."""
     return _classes(fingerprints(df, id_col, text_col, shingle), lambda prints: links(prints, radius), id_col)
 
 
-def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
-    """As ``near_duplicates``, linking texts whose shingle sets have about that Jaccard
-    similarity or more, as ``64 * words`` SimHash bits estimate it."""
-    radius = similarity_radius(similarity, 64 * words)
-    return _classes(fingerprints(df, id_col, text_col, shingle, words), lambda prints: sampled_links(prints, radius), id_col)
-
-
 def _classes(prints: DataFrame, search, id_col: str) -> DataFrame:
     prints = cut(prints)
     nodes = cut(prints.groupBy("print").agg(F.min(F.struct(F.col("id").isNotNull(), "id")).alias("low")))

@@ -240,6 +240,19 @@ def test_drop_similar_is_exact(spark):
         assert got == sorted(set(root)), similarity
 
 
+def test_every_pair_at_the_threshold_goes(spark):
+    """200 pairs of similarity 0.8 lose one text each, 200 of 0.79 lose none; so do pairs of the tables."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(400):
+        text = [f"w{rng.randrange(10**9)}" for _ in range(104)]  # 100 shingles
+        rows += [(2 * k, " ".join(text), "a"), (2 * k + 1, " ".join(text[: 84 - k % 2]), "b")]
+    pairs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (922, 8228, 5333, 9115)").select("doc_id", "text").collect()
+    rows += [(10**6 + r.doc_id, r.text, "c") for r in pairs]  # similarity 0.814 and 0.59
+    kept = {r.doc_id for r in simhash.drop_similar(documents(spark, rows)).collect()}
+    assert kept == {i for i, _, _ in rows} - {2 * k + 1 for k in range(0, 400, 2)} - {10**6 + 8228}
+
+
 def test_rows_of_one_id_keep_their_texts(spark):
     """Null and repeated ids: only the rows judged duplicate or bad go."""
     rng = random.Random(4)
