@@ -1,11 +1,12 @@
 """Substring dedup by words: words of passages that an earlier document already has.
 
-Method: suffix automata of reference shards. A shard's reference is the distinct shared
-segments (see ``repeats``) in ascending order of their first document; segments stream
-through the shard's automata for their matching statistics, and matches of the wanted
-length whose first owner is an earlier document are marked. An automaton stays with the
-task that owns its shard: their number grows with the corpus, so sending each to every
-executor would have no bound.
+Method: suffix automata of reference shards. A reference is the pieces of text that
+documents may share (see ``repeats``) in ascending order of their first document; pieces
+stream through the automaton of their route for their matching statistics, and maximal runs
+of matches of the wanted length whose first owner is an earlier document are removed. Every
+word that goes was marked by an automaton. An automaton stays with the task that owns its
+shard: their number grows with the corpus, so sending each to every executor would have no
+bound.
 
 Defined results: a null text has no words; equal ids are one document; a null id counts as
 the smallest; texts of fewer words than a window keep all words; no rows give no rows.
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from plumbline.llm.repeats import CROWDED, Symbols, Unit, Windows, find_repeats, mixed
 from plumbline.llm.suffix_automaton import SuffixAutomaton
+from plumbline.llm.suffix_index import NOBODY
 
 GRAM = 5
 _SPACES = np.zeros(256, bool)
@@ -59,26 +61,26 @@ def read_words(texts: list[bytes], gram: int) -> Symbols:
     return Symbols(np.append(grams, np.zeros(gram, np.uint64)), offsets, content)
 
 
-def mark_by_automaton(texts: list[bytes], owners: np.ndarray, depth: int) -> np.ndarray:
-    """As ``suffix_index.mark_earlier``, for word sequences joined by single spaces."""
-    split = [t.split(b" ") for t in texts]
+def first_owners(texts: list[bytes], owners: np.ndarray, depth: int, patterns: list[bytes] | None = None) -> list[np.ndarray]:
+    """As ``suffix_index.first_owners``, for word sequences joined by single spaces."""
+    known: dict[bytes, int] = {}
+    numbered = [[known.setdefault(w, len(known)) for w in t.split(b" ")] for t in texts]
     automaton = SuffixAutomaton()
     for i in np.argsort(owners, kind="stable").tolist():
-        automaton.add(split[i], int(owners[i]))
-    marks = np.zeros(len(texts), np.uint64)
-    for i, (words, owner) in enumerate(zip(split, owners.tolist(), strict=True)):
-        mask = 0
+        automaton.add(numbered[i], int(owners[i]))
+    out = []
+    for words in numbered if patterns is None else ([known.get(w, -1) for w in p.split(b" ")] for p in patterns):
+        found = np.full(max(len(words) - depth + 1, 0), NOBODY)
         for end, first in automaton.stream(words, depth):
-            if first < owner:
-                mask |= 1 << (end - depth + 1)
-        marks[i] = mask
-    return marks
+            found[end - depth + 1] = first
+        out.append(found)
+    return out
 
 
 def windows(length: int, gram: int = GRAM, crowded: int = CROWDED) -> Windows:
-    if not 1 <= gram <= length or length - gram + 1 > 62:
-        raise ValueError("a gram has at least one word, and a window at most 62 grams")
-    return Windows(length, gram, lambda texts: read_words(texts, gram), lambda texts, owners: mark_by_automaton(texts, owners, length), crowded)
+    if not 1 <= gram <= length:
+        raise ValueError("a gram has at least one word, and at most a window")
+    return Windows(length, gram, lambda texts: read_words(texts, gram), lambda texts, owners: first_owners(texts, owners, length), crowded)
 
 
 def mark_repeated_words(df: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:

@@ -11,19 +11,25 @@ bounded unit or one shard in a task:
 2. ``routing``: every window contains a *minimizer*, the gram with the smallest hash among
    its grams. Equal windows have equal minimizers, so only segments (runs of windows) whose
    minimizer occurs in two documents can hold repeats. A unit ships each distinct minimizer
-   hash once, however often it occurs in it; a shard answers with one bit for each.
-3. ``matching``: a unit ships each distinct shared segment once, with its smallest document
-   id; a shard joins equal segments, indexes those of minimizers that have several, and
-   answers with one 64-bit mask for each segment.
-4. ``marking``: a unit applies the masks to all its documents.
+   hash once, with its first document and place there; a shard answers, for those that two
+   documents have, with a *route*: the first document of all and the block of its text.
+3. ``matching``: neighbouring segments of one route are one *piece*, so that a copied passage
+   travels whole. The pieces of a route are the reference of an index; a unit's pieces are
+   streamed through it, and the index says of every window under which document it comes first.
+   That answer goes back as two bits: whether the first document is smaller than the smallest
+   of the unit that has the piece, and whether it is at most that one.
+4. ``marking``: a unit applies the bits to all its documents.
+
+All windows of a minimizer have one route, and a route is indexed as a whole, so every two
+equal windows meet. What repeats is decided by the index on the symbols themselves; hashes
+only route. Equal pieces are one text of the reference, with their smallest document. A
+piece that one document alone has, in a route without others, is not indexed.
 
 A minimizer with more than ``CROWDED`` different segments would fill one shard. The shards
 of pass 2 see this from counts that the units send, and units then ship such segments
-window by window, routed by the hash of the whole window: equal windows still meet, and no
-group has more than one content but for collisions. A passage that very many units hold
-counts once for each of them and may take this way too, at more bytes shipped.
-
-The hashes only route. What repeats is decided on the symbols themselves.
+window by window, routed by the hash of the whole window: equal windows still meet. A
+passage that very many units hold counts once for each of them and may take this way too, at
+more bytes shipped.
 """
 
 from __future__ import annotations
@@ -51,8 +57,10 @@ CROWDED = 1 << 14
 BLOCK = 1 << 14
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HASH_MASK = np.uint64((1 << 48) - 1)
-#: A shard's answer for a segment: the top bit says that the unit has its first document.
-FIRST_HERE = np.uint64(1 << 63)
+#: The most windows of a piece, and the windows of a block of the first document.
+PIECE = 512
+#: The route of a crowded minimizer: its windows have routes of their own.
+_OWN = np.uint64(0)
 
 
 @dataclass(frozen=True)
@@ -63,8 +71,8 @@ class Windows:
     gram: int
     #: (text bytes of a unit, document offsets) -> Symbols
     read: Callable
-    #: (distinct segments, owners) -> masks of the windows that repeat
-    mark: Callable
+    #: (distinct pieces, owners) -> for each piece the first owners of its windows
+    first_owners: Callable
     #: different segments of one minimizer beyond which its windows are routed one by one
     crowded: int = CROWDED
 
@@ -134,14 +142,19 @@ def segments(symbols: Symbols, windows: Windows) -> tuple[np.ndarray, np.ndarray
     return mixed(value[first]), document[first], local[first], size
 
 
-def distinct_by_document(hashes: np.ndarray, documents: np.ndarray, ids: np.ndarray):
-    """Distinct hashes in ascending order, and whether two document ids have each."""
-    order = np.argsort(hashes, kind="stable")
-    h, d = hashes[order], ids[documents[order]]
-    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    if not len(start):
-        return h, np.zeros(0, bool)
-    return h[start], np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
+def first_places(hashes: np.ndarray, ids: np.ndarray, blocks: np.ndarray):
+    """Distinct hashes in ascending order, whether two ids have each, the smallest of them
+    and its first block, and the number of each of ``hashes`` in that order."""
+    order = np.lexsort((blocks, ids, hashes))
+    h, d = hashes[order], ids[order]
+    new = np.empty(len(h), bool)
+    new[:1] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    start = np.flatnonzero(new)
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    last = np.append(start[1:], len(h)) - 1 if len(h) else start
+    return h[start], d[start] != d[last], d[start], blocks[order][start], number
 
 
 def distinct_contents(hashes: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -187,43 +200,59 @@ class Unit:
         at = self.symbols.offsets[self.document] + self.start
         return total[at + self.count + self.windows.span - 1] - total[at]
 
+    def places(self):
+        """As ``first_places``, of the minimizers of all segments."""
+        return first_places(self.hashes, self.ids[self.document], self.start // PIECE)
+
     def contents(self, pieces: Pieces):
-        """Distinct contents of ``pieces``: (bytes, hash, smallest id), and for each piece
-        the number of its content."""
+        """Distinct contents of ``pieces``: (bytes, route, smallest id, windows, whether two
+        documents have it), and for each piece the number of its content."""
         seen: dict[bytes, int] = {}
         content, ids = self.symbols.content, self.ids
         numbers = np.empty(len(pieces.document), np.int64)
         length = self.windows.length - 1
         for i, (d, s, n) in enumerate(zip(pieces.document.tolist(), pieces.start.tolist(), pieces.count.tolist(), strict=True)):
             numbers[i] = seen.setdefault(content(d, s, s + n + length), len(seen))
-        owner = np.full(len(seen), np.iinfo(np.int64).max)
+        owner, last = np.full(len(seen), np.iinfo(np.int64).max), np.full(len(seen), np.iinfo(np.int64).min)
         np.minimum.at(owner, numbers, ids[pieces.document])
+        np.maximum.at(last, numbers, ids[pieces.document])
         first = np.zeros(len(seen), np.int64)
         first[numbers[::-1]] = np.arange(len(numbers))[::-1]
-        return list(seen), pieces.hashes[first], owner, numbers
+        return list(seen), pieces.route[first], owner, pieces.count[first], owner != last, numbers
 
-    def shared(self, answers: Answers | None) -> Pieces:
-        """The segments whose minimizer the shards found in two documents, in order; those
-        of crowded minimizers window by window."""
+    def pieces(self, answers: Answers | None) -> Pieces:
+        """The pieces of the segments whose minimizer the shards found in two documents, in
+        order; those of crowded minimizers window by window."""
         none = np.zeros(0, np.int64)
         if not len(self.hashes) or answers is None:
             return Pieces(none, none, none, none.astype(np.uint64))
-        known, _ = distinct_by_document(self.hashes, self.document, self.ids)
+        known, _, _, _, number = self.places()
         shards = _shard(known, answers.shards)
-        flags = np.zeros((2, len(known)), bool)
-        for shard, blob in answers.bits.items():
-            at = np.flatnonzero(shards == shard)
-            both = np.frombuffer(blob, np.uint8).reshape(-1, -(-len(at) // 8))
-            flags[: len(both), at] = np.unpackbits(both, axis=1, count=len(at))
-        where = np.searchsorted(known, self.hashes)
-        at = np.flatnonzero(flags[0][where])
-        crowded = flags[1][where[at]]
-        parts = np.where(crowded, self.count[at], 1)
+        shared, route = np.zeros(len(known), bool), np.zeros(len(known), np.uint64)
+        for shard, blob in answers.parts.items():
+            at = slice(*np.searchsorted(shards, (shard, shard + 1)))  # shards ascend with the hashes
+            answer = zstandard.decompress(blob)
+            size = -(-(at.stop - at.start) // 8)
+            shared[at] = np.unpackbits(np.frombuffer(answer, np.uint8, size), count=at.stop - at.start)
+            route[at][shared[at]] = _wide(np.frombuffer(answer, np.uint8, offset=size)) << np.uint64(16)
+        at = np.flatnonzero(shared[number])
+        routes = route[number[at]]
+        parts = np.where(routes == _OWN, self.count[at], 1)
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        at, crowded = np.repeat(at, parts), np.repeat(crowded, parts)
-        document, start, hashes = self.document[at], self.start[at] + step, self.hashes[at]
-        hashes[crowded] = self._window_hashes(self.symbols.offsets[document[crowded]] + start[crowded])
-        return Pieces(document, start, np.where(crowded, 1, self.count[at]), hashes)
+        at, routes = np.repeat(at, parts), np.repeat(routes, parts)
+        document, start = self.document[at], self.start[at] + step
+        alone = routes == _OWN
+        routes[alone] = self._window_hashes(self.symbols.offsets[document[alone]] + start[alone])
+        count = np.where(alone, 1, self.count[at])
+        if not len(at):
+            return Pieces(document, start, count, routes)
+        new = np.concatenate(([True], (routes[1:] != routes[:-1]) | (document[1:] != document[:-1]) | (start[1:] != start[:-1] + count[:-1])))
+        first = np.flatnonzero(new)
+        size = np.add.reduceat(count, first)
+        parts = -(-size // PIECE)
+        step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * PIECE
+        first, size = np.repeat(first, parts), np.repeat(size, parts)
+        return Pieces(document[first], start[first] + step, np.minimum(size - step, PIECE), routes[first])
 
     def _window_hashes(self, at: np.ndarray) -> np.ndarray:
         """Hashes of the windows at symbols ``at``, of grams that cover every symbol."""
@@ -236,24 +265,35 @@ class Unit:
 
 @dataclass
 class Pieces:
-    """Segments, or single windows, of a unit: where they are and what routes them."""
+    """Runs of windows of a unit: where they are and what routes them."""
 
     document: np.ndarray
     start: np.ndarray
     count: np.ndarray
-    hashes: np.ndarray
+    route: np.ndarray
 
 
 @dataclass
 class Answers:
     shards: int
-    bits: dict
+    parts: dict
 
 
 def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (((hashes >> np.uint64(48)) * np.uint64(shards)) >> np.uint64(16)).astype(np.int64)
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The six low bytes of each value."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _wide(low: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(low) // 6, 8), np.uint8)
+    out[:, :6] = low.reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _answers(packed, shards: int) -> Answers | None:
     return None if packed is None or packed is pd.NA else Answers(shards, {r["shard"]: r["answer"] for r in packed})
 
@@ -317,60 +357,51 @@ def find_repeats(df: DataFrame, windows: Windows, id_col: str, text_col: str, fi
         for frame in frames:
             for name, blob in zip(frame["unit"], frame["blob"], strict=True):
                 unit = Unit(blob, windows, "i", "t")
-                known, several = distinct_by_document(unit.hashes, unit.document, unit.ids)
-                shard = _shard(known, shards)
-                owner = _owners(unit, known)
+                known, several, owner, block, _ = unit.places()
                 kinds = np.minimum(distinct_contents(unit.hashes, unit.sums()), 0xFFFF).astype("<u2")
-                for s, at in _runs(shard):
-                    low = (known[at] & _HASH_MASK).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                for s, at in _runs(_shard(known, shards)):
                     # an id tells apart the documents of different units
-                    yield pd.DataFrame({"shard": [s], "unit": [name], "hashes": [low.tobytes()], "several": [np.packbits(several[at]).tobytes()], "kinds": [zstandard.compress(kinds[at].tobytes(), 1)], "ids": [zstandard.compress(owner[at].tobytes(), 1)]})
+                    places = zstandard.compress(owner[at].tobytes() + block[at].astype("<u4").tobytes(), 1)
+                    yield pd.DataFrame({"shard": [s], "unit": [name], "hashes": [_narrow(known[at] & _HASH_MASK).tobytes()], "several": [np.packbits(several[at]).tobytes()], "kinds": [zstandard.compress(kinds[at].tobytes(), 1)], "places": [places]})
 
     def answer_minimizers(frame):
-        hashes = [np.frombuffer(b, np.uint8).reshape(-1, 6) for b in frame["hashes"]]
-        sizes = [len(h) for h in hashes]
+        values = [_wide(np.frombuffer(b, np.uint8)) for b in frame["hashes"]]
+        sizes = [len(v) for v in values]
         several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(frame["several"], sizes, strict=True)])
-        ids = np.concatenate([np.frombuffer(zstandard.decompress(b), np.int64) for b in frame["ids"]])
+        places = [zstandard.decompress(b) for b in frame["places"]]
+        ids = np.concatenate([np.frombuffer(b, np.int64, n) for b, n in zip(places, sizes, strict=True)])
+        blocks = np.concatenate([np.frombuffer(b, "<u4", n, 8 * n) for b, n in zip(places, sizes, strict=True)])
         kinds = np.concatenate([np.frombuffer(zstandard.decompress(b), "<u2") for b in frame["kinds"]])
-        wide = np.zeros((len(several), 8), np.uint8)
-        wide[:, :6] = np.concatenate(hashes)
-        value = wide.view("<u8").ravel()
-        order = np.argsort(value)
-        value = value[order]
-        start = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-        shared = np.logical_or.reduceat(several[order], start)
-        shared |= np.minimum.reduceat(ids[order], start) != np.maximum.reduceat(ids[order], start)
-        crowded = shared & (np.add.reduceat(kinds[order], start, dtype=np.int64) > windows.crowded)
-        out = np.empty((2, len(order)), bool)
-        out[:, order] = np.repeat(np.stack((shared, crowded)), np.diff(np.append(start, len(order))), axis=1)
+        _, differ, owner, block, number = first_places(np.concatenate(values), ids, blocks)
+        shared = differ | (np.bincount(number, several, len(differ)) > 0)
+        route = np.maximum(mixed(owner.view(np.uint64) ^ mixed(block.astype(np.uint64) + np.uint64(1))) >> np.uint64(16), np.uint64(1))
+        route[np.bincount(number, kinds, len(differ)) > windows.crowded] = _OWN
+        shared, route = shared[number], route[number]
         stops = np.cumsum(sizes)[:-1]
-        found = [np.packbits(part[: 1 + part[1].any()], axis=1).tobytes() if part[0].any() else None for part in np.split(out, stops, axis=1)]
+        found = [zstandard.compress(np.packbits(f).tobytes() + _narrow(r[f]).tobytes(), 1) if f.any() else None for f, r in zip(np.split(shared, stops), np.split(route, stops), strict=True)]
         rows = pd.DataFrame({"unit": frame["unit"], "shard": frame["shard"], "answer": found})
         return rows[rows["answer"].notna()]
 
-    shipped = units.select("unit", "blob").mapInPandas(ship_minimizers, "shard int, unit string, hashes binary, several binary, kinds binary, ids binary")
+    shipped = units.select("unit", "blob").mapInPandas(ship_minimizers, "shard int, unit string, hashes binary, several binary, kinds binary, places binary")
     flags = cut(_by_shard(shipped, shards, answer_minimizers, "unit string, shard int, answer binary"))
     release(spark)
 
-    def ship_segments(frames):
+    def ship_pieces(frames):
         for frame in frames:
             for name, blob, packed in zip(frame["unit"], frame["blob"], frame["answers"], strict=True):
                 unit = Unit(blob, windows, "i", "t")
-                texts, hashes, owner, _ = unit.contents(unit.shared(_answers(packed, shards)))
-                shard = _shard(hashes, shards)
-                order = np.argsort(shard, kind="stable")
-                for s, at in _runs(shard[order]):
-                    mine = order[at]
-                    chosen = [texts[i] for i in mine]
-                    head = np.column_stack((hashes[mine].view(np.int64), owner[mine], np.fromiter(map(len, chosen), np.int64, len(chosen))))
-                    yield pd.DataFrame({"shard": [s], "unit": [name], "heads": [zstandard.compress(head.T.tobytes(), 1)], "texts": [zstandard.compress(b"".join(chosen), 3)]})
-
-    def answer_segments(frame):
+                texts, routes, owner, count, several, _ = unit.contents(unit.pieces(_answers(packed, shards)))
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+                for s, mine in _by_number(_shard(routes, shards)):
+                    head = np.stack((routes[mine].view(np.int64), owner[mine], sizes[mine], count[mine], several[mine]))
+                    yield pd.DataFrame({"shard": [s], "unit": [name], "heads": [zstandard.compress(head.tobytes(), 1)], "texts": [zstandard.compress(b"".join([texts[i] for i in mine]), 3)]})
+
+    def answer_pieces(frame):
         return pd.DataFrame({"unit": frame["unit"], "shard": frame["shard"], "answer": _match(frame, windows)})
 
     flagged = units.join(_gathered(flags).hint("shuffle_hash"), "unit")
-    shipped = flagged.select("unit", "blob", "answers").mapInPandas(ship_segments, "shard int, unit string, heads binary, texts binary")
-    masks = cut(_by_shard(shipped, shards, answer_segments, "unit string, shard int, answer binary"))
+    shipped = flagged.select("unit", "blob", "answers").mapInPandas(ship_pieces, "shard int, unit string, heads binary, texts binary")
+    masks = cut(_by_shard(shipped, shards, answer_pieces, "unit string, shard int, answer binary"))
     release(spark)
 
     def mark(frames):
@@ -383,12 +414,6 @@ def find_repeats(df: DataFrame, windows: Windows, id_col: str, text_col: str, fi
     return both.select("blob", "answers", "masks").mapInPandas(mark, schema)
 
 
-def _owners(unit: Unit, known: np.ndarray) -> np.ndarray:
-    owner = np.full(len(known), np.iinfo(np.int64).max)
-    np.minimum.at(owner, np.searchsorted(known, unit.hashes), unit.ids[unit.document])
-    return owner
-
-
 def _runs(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, positions) of an ascending array."""
     if len(shard):
@@ -397,26 +422,44 @@ def _runs(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(shard[a]), np.arange(a, b)
 
 
+def _by_number(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, positions) of any array, positions in order."""
+    order = np.argsort(shard, kind="stable")
+    for s, at in _runs(shard[order]):
+        yield s, order[at]
+
+
+def _spread(base: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers base, base + 1, ... of each run of ``count``."""
+    return np.repeat(base - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def _match(frame: pd.DataFrame, windows: Windows) -> list[bytes]:
-    """Masks for the segments of one shard, a blob for each row of ``frame``."""
-    groups: dict[int, dict[bytes, int]] = {}  # by minimizer: contents and their numbers
+    """For each row of ``frame`` the bits of the windows of its pieces: first those that come
+    first under a smaller owner than the piece has there, then those under one at most as large."""
+    groups: dict[int, dict[bytes, int]] = {}  # by route: pieces and their numbers
     owners: list[int] = []
-    asked: list[list[tuple[int, int]]] = []
+    counts: list[int] = []
+    shared: list[bool] = []
+    asked: list[tuple[np.ndarray, np.ndarray]] = []
     for heads, texts in zip(frame["heads"], frame["texts"], strict=True):
-        head = np.frombuffer(zstandard.decompress(heads), np.int64).reshape(3, -1)
-        text, at, mine = zstandard.decompress(texts), 0, []
-        for h, owner, size in zip(head[0].tolist(), head[1].tolist(), head[2].tolist(), strict=True):
-            group = groups.setdefault(h, {})
+        head = np.frombuffer(zstandard.decompress(heads), np.int64).reshape(5, -1)
+        text, at, numbers = zstandard.decompress(texts), 0, []
+        for route, owner, size, count, several in zip(*head.tolist(), strict=True):
+            group = groups.setdefault(route, {})
             content, at = text[at : at + size], at + size
             number = group.setdefault(content, len(owners))
             if number == len(owners):
                 owners.append(owner)
-            elif owner < owners[number]:
-                owners[number] = owner
-            mine.append((number, owner))
-        asked.append(mine)
-    owner_of = np.array(owners, np.int64)
-    masks = np.zeros(len(owners), np.uint64)
+                counts.append(count)
+                shared.append(bool(several))
+            elif owner != owners[number]:
+                owners[number], shared[number] = min(owner, owners[number]), True
+            numbers.append(number)
+        asked.append((np.array(numbers, np.int64), head[1]))
+    owner_of, count_of = np.array(owners, np.int64), np.array(counts, np.int64)
+    base = np.cumsum(count_of) - count_of
+    first = np.full(int(count_of.sum()), np.iinfo(np.int64).max)
     batch: list[bytes] = []
     numbers: list[int] = []
     held = 0
@@ -425,12 +468,12 @@ def _match(frame: pd.DataFrame, windows: Windows) -> list[bytes]:
         nonlocal batch, numbers, held
         if batch:
             at = np.array(numbers)
-            masks[at] = windows.mark(batch, owner_of[at])
+            first[_spread(base[at], count_of[at])] = np.concatenate(windows.first_owners(batch, owner_of[at]))
             batch, numbers, held = [], [], 0
 
     for group in groups.values():
-        if len(group) < 2:
-            continue  # an index of a single segment has nothing to match
+        if len(group) == 1 and not shared[next(iter(group.values()))]:
+            continue  # one piece of one document: nothing else could match it
         size = sum(map(len, group)) + len(group)
         if held and held + size > INDEX_BYTES:
             settle()
@@ -438,10 +481,14 @@ def _match(frame: pd.DataFrame, windows: Windows) -> list[bytes]:
         numbers += group.values()
         held += size
     settle()
-    return [zstandard.compress(np.array([int(masks[n]) | (int(FIRST_HERE) if owners[n] == o else 0) for n, o in mine], np.uint64).tobytes(), 1) for mine in asked]
+    out = []
+    for mine, owner in asked:
+        found, limit = first[_spread(base[mine], count_of[mine])], np.repeat(owner, count_of[mine])
+        out.append(zstandard.compress(np.packbits(np.stack((found < limit, found <= limit)), axis=1).tobytes(), 1))
+    return out
 
 
-#: Bytes that one index takes in, unless one minimizer alone has more.
+#: Bytes that one index takes in, unless one route alone has more.
 INDEX_BYTES = 1 << 20
 
 
@@ -449,25 +496,22 @@ def _covered(unit: Unit, answers: Answers | None, found, shards: int) -> list[np
     """Disjoint symbol spans of each document that repeated windows cover."""
     none = np.zeros((0, 2), np.int64)
     out = [none] * len(unit.texts)
-    shared = unit.shared(answers)
-    if not len(shared.document) or found is None:
+    pieces = unit.pieces(answers)
+    if not len(pieces.document) or found is None:
         return out
-    texts, hashes, owner, numbers = unit.contents(shared)
-    shard = _shard(hashes, shards)
-    masks = np.zeros(len(texts), np.uint64)
-    order = np.argsort(shard, kind="stable")
+    texts, routes, owner, count, _, numbers = unit.contents(pieces)
+    base = np.cumsum(count) - count
+    bits = np.zeros((2, int(count.sum())), bool)
     got = {r["shard"]: r["answer"] for r in found}
-    for s, at in _runs(shard[order]):
-        masks[order[at]] = np.frombuffer(zstandard.decompress(got[s]), np.uint64)
-    first = unit.ids[shared.document] == owner[numbers]
-    mask = masks[numbers]
-    whole = ~(first & (mask & FIRST_HERE > 0))
-    count = shared.count
-    repeated = np.repeat(np.arange(len(count)), count)
-    step = np.arange(len(repeated)) - np.repeat(np.cumsum(count) - count, count)
-    hit = whole[repeated] | ((mask[repeated] >> step.astype(np.uint64)) & np.uint64(1) > 0)
-    document = shared.document[repeated[hit]]
-    start = shared.start[repeated[hit]] + step[hit]
+    for s, mine in _by_number(_shard(routes, shards)):
+        size = int(count[mine].sum())
+        both = np.frombuffer(zstandard.decompress(got[s]), np.uint8).reshape(2, -1)
+        bits[:, _spread(base[mine], count[mine])] = np.unpackbits(both, axis=1, count=size)
+    # the smallest document that has the piece in this unit asks for smaller ones, others for that one too
+    later = (unit.ids[pieces.document] != owner[numbers]).astype(np.int64)
+    hit = bits[np.repeat(later, pieces.count), _spread(base[numbers], pieces.count)]
+    document = np.repeat(pieces.document, pieces.count)[hit]
+    start = _spread(pieces.start, pieces.count)[hit]
     if not len(start):
         return out
     length = unit.windows.length

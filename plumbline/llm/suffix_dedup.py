@@ -1,9 +1,10 @@
 """Suffix-array dedup: bytes of passages that an earlier document already has.
 
-Method: a run-length index. The shared segments of a shard (see ``repeats``) become one
-run-compressed Burrows-Wheeler transform with sampled run heads and ends; every segment is
-streamed through it for its matching statistics, and windows whose match is long enough and
-whose first owner is an earlier document are marked.
+Method: a run-length index. The pieces of text that documents may share (see ``repeats``)
+become run-compressed Burrows-Wheeler transforms with sampled run heads and ends; every
+piece is streamed through the one of its route for its matching statistics, and windows
+whose match is long enough and whose first owner is an earlier document are marked. Every
+byte that goes was marked by an index.
 
 Defined results: a null text is empty; equal ids are one document (neither removes from the
 other); a null id counts as the smallest; texts shorter than the window keep all bytes; no
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.repeats import BLOCK, CROWDED, Symbols, Unit, Windows, find_repeats, mixed
-from plumbline.llm.suffix_index import MAX_SYMBOLS, mark_earlier
+from plumbline.llm.suffix_index import MAX_SYMBOLS, first_owners
 
 GRAM = 20
 
@@ -41,25 +42,24 @@ def read_bytes(texts: list[bytes], gram: int) -> Symbols:
     return Symbols(np.append(grams, np.zeros(gram, np.uint64)), offsets, lambda d, a, b: texts[d][a:b])
 
 
-def _mark(texts: list[bytes], owners: np.ndarray, depth: int) -> np.ndarray:
+def _first_owners(texts: list[bytes], owners: np.ndarray, depth: int) -> list[np.ndarray]:
     if sum(map(len, texts)) + len(texts) <= MAX_SYMBOLS:
-        return mark_earlier(texts, owners, depth)
-    # Segments of one minimizer that exceed an index: each pair of halves meets in one index.
+        return first_owners(texts, owners, depth)
+    # Pieces of one route that exceed an index: each pair of halves meets in one index.
     third = -(-len(texts) // 3)
-    marks = np.zeros(len(texts), np.uint64)
+    out: list = [None] * len(texts)
     parts = [np.arange(k * third, min((k + 1) * third, len(texts))) for k in range(3)]
     for a, b in ((0, 1), (0, 2), (1, 2)):
         at = np.concatenate((parts[a], parts[b]))
-        marks[at] |= _mark([texts[i] for i in at], owners[at], depth)
-    return marks
+        for i, found in zip(at.tolist(), _first_owners([texts[i] for i in at], owners[at], depth), strict=True):
+            out[i] = found if out[i] is None else np.minimum(out[i], found)
+    return out
 
 
 def windows(length: int, gram: int = GRAM, crowded: int = CROWDED) -> Windows:
     if not 8 <= gram < length:
         raise ValueError("grams have at least 8 bytes and fewer than a window")
-    if length - gram + 1 > 62:
-        raise ValueError("a window holds at most 62 grams")
-    return Windows(length, gram, lambda texts: read_bytes(texts, gram), lambda texts, owners: _mark(texts, owners, length), crowded)
+    return Windows(length, gram, lambda texts: read_bytes(texts, gram), lambda texts, owners: _first_owners(texts, owners, length), crowded)
 
 
 def cut_spans(text: bytes, spans: np.ndarray) -> bytes:

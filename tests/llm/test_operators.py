@@ -1,5 +1,6 @@
 """Each training-data operator against a brute-force model, on whole small tables and on edge cases."""
 
+import dataclasses
 import hashlib
 import json
 import math
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import ann, automaton_dedup, chat, components, knn_join, mixing, packing, quality, queries, simhash, suffix_dedup, url_filter
-from plumbline.llm.suffix_index import mark_earlier
+from plumbline.llm.suffix_index import NOBODY, first_owners
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -101,18 +102,42 @@ def test_automaton_dedup(spark, which):
     assert got == want
 
 
-def test_indexes_agree_with_brute_force():
+@pytest.mark.parametrize("index", [first_owners, automaton_dedup.first_owners])
+def test_indexes_agree_with_brute_force(index):
+    """Texts and foreign patterns, some with symbols that no text has."""
     rng = random.Random(5)
+    symbols, wrap = (b"ab\0\xff", bytes) if index is first_owners else (b"abcd", lambda s: b" ".join(bytes([c]) for c in s))
     for depth in (8, 9, 50):
-        base = bytes(rng.choice(b"ab\0\xff") for _ in range(300))
-        texts = sorted({base[a : a + depth + rng.randint(0, 20)] for a in (rng.randint(0, 200) for _ in range(40))})
+        base = bytes(rng.choice(symbols) for _ in range(300))
+        texts = [base[a : a + depth + rng.randint(0, 60)] for a in (rng.randint(0, 200) for _ in range(40))]
         owners = np.array([rng.randint(0, 9) for _ in texts])
         low = {}
         for t, o in zip(texts, owners.tolist(), strict=True):
             for i in range(len(t) - depth + 1):
                 low[t[i : i + depth]] = min(o, low.get(t[i : i + depth], o))
-        want = [sum((low[t[i : i + depth]] < o) << i for i in range(len(t) - depth + 1)) for t, o in zip(texts, owners.tolist(), strict=True)]
-        assert mark_earlier(texts, owners, depth).tolist() == want
+        foreign = [bytes(rng.choice(symbols + b"z") for _ in range(30)) + base[a : a + 80] for a in range(0, 200, 7)]
+        for patterns in (None, foreign):
+            found = index([wrap(t) for t in texts], owners, depth, None if patterns is None else [wrap(p) for p in patterns])
+            want = [[low.get(p[i : i + depth], NOBODY) for i in range(len(p) - depth + 1)] for p in patterns or texts]
+            assert [f.tolist() for f in found] == want
+
+
+@pytest.mark.parametrize("module", [suffix_dedup, automaton_dedup])
+def test_all_that_goes_was_marked_by_an_index(spark, module, monkeypatch):
+    """Without the answers of the indexes nothing is removed, with them much is."""
+    mark = suffix_dedup.mark_repeated_bytes if module is suffix_dedup else automaton_dedup.mark_repeated_words
+    removed = F.sum(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]))
+    docs = table(spark, "documents")
+    assert mark(docs).agg(removed).first()[0] > 1000
+
+    real = module.windows
+
+    def blind(*args, **kwargs):
+        found = real(*args, **kwargs)
+        return dataclasses.replace(found, first_owners=lambda texts, owners: [np.full(f.shape, NOBODY) for f in found.first_owners(texts, owners)])
+
+    monkeypatch.setattr(module, "windows", blind)
+    assert mark(docs).agg(removed).first()[0] == 0
 
 
 def test_remove_keeps_columns(spark):
