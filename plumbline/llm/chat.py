@@ -2,20 +2,25 @@
 
 The turns of a conversation become windows of at most ``budget`` tokens: prefix sums of the
 turn tokens choose where a window ends, always between turns. Later windows begin with the
-system turn and up to ``history`` turns of the window before; repeated turns are outside
-the loss mask, so every assistant text is a target once.
+system turn, the first one of the conversation wherever it stands, and up to ``history`` turns
+of the window before; repeated turns are outside the loss mask, so every assistant text is a
+target once. A turn counts its tokens and one for its mark.
+
+The budget goes to the next new turn first, then to the system turn, then to history, the
+latest turn first. So a new turn that fits, but not beside the system turn, stands without it.
+Only a turn that alone exceeds the budget makes a window above it: whole, with no other turn
+but the system turn, if that one is within the budget.
 
 Template: a turn is ``### <role>:`` and a line feed, its text, and ``</turn>`` and a line
 feed. In texts a backslash becomes two, ``### `` becomes ``#\\## `` and ``</turn>`` becomes
 ``<\\/turn>``, so the control strings occur only as marks; undoing it drops each backslash
 and keeps what follows it.
 
-A conversation is read as a stream sorted by turn: a task holds one window and never a
-whole conversation.
+A conversation is read as a stream sorted by turn. Its windows follow from one another, so one
+task streams it, however long, and holds an open window and a batch of turns.
 
 Defined results: null texts and roles are empty; a null conversation id is a conversation;
-equal turns are ordered by role, then text; a null turn comes first; a turn above the budget
-has a window of its own, whole. No rows give no windows.
+equal turns are ordered by role, then text; a null turn comes first. No rows give no windows.
 """
 
 from __future__ import annotations
@@ -23,7 +28,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,48 +63,81 @@ def unescape_role(role: str) -> str:
     return re.sub(r"(?s)\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
-class Window:
-    """A window that is being filled."""
-
-    def __init__(self, number: int, repeated: list):
-        self.number, self.repeated, self.turns = number, repeated, []
-        self.tokens = sum(t[2] for t in repeated)
-
-    def row(self, conversation) -> dict:
-        parts, at, start, stop = [], 0, [], []
-        for i, (role, text, _) in enumerate([*self.repeated, *self.turns]):
-            head, body = f"{_HEAD}{escape_role(role)}:\n", escape(text)
-            if i >= len(self.repeated) and role == "assistant":
-                start.append(at + len(head))
-                stop.append(at + len(head) + len(body))
-            parts += [head, body, _TAIL]
-            at += len(head) + len(body) + len(_TAIL)
-        spans = [{"start": a, "stop": b} for a, b in zip(start, stop, strict=True)]
-        return {"conv": conversation, "window": self.number, "text": "".join(parts), "n_repeated": len(self.repeated), "n_tokens": self.tokens, "loss": spans}
-
-
-def _windows(rows: Iterator[tuple], budget: int, history: int, count) -> Iterator[dict]:
-    """Windows of rows (conversation, role, text) that come conversation by conversation."""
-    window, current, system = None, None, None
-    for conversation, role, text in rows:
-        turn = (role, text, count(text))
-        if window is None or conversation != current:
-            if window is not None:
-                yield window.row(current)
-            window, current, system = Window(0, []), conversation, None
-        if window.turns and window.tokens + turn[2] > budget:
-            yield window.row(current)
-            kept = [t for t in window.turns if t is not system][-history:] if history else []
-            lead = [system] if system else []
-            while kept and sum(t[2] for t in lead + kept) + turn[2] > budget:
-                kept.pop(0)
-            window = Window(window.number + 1, lead + kept)
-        if role == "system" and system is None and not window.repeated and not window.turns:
-            system = turn
-        window.turns.append(turn)
-        window.tokens += turn[2]
-    if window is not None:
-        yield window.row(current)
+def _window(conversation, number: int, repeated: list, turns: list) -> dict:
+    """A row for turns (role, text, tokens), the ``repeated`` ones first."""
+    parts, at, spans = [], 0, []
+    for i, (role, text, _) in enumerate([*repeated, *turns]):
+        head, body = f"{_HEAD}{escape_role(role)}:\n", escape(text)
+        if i >= len(repeated) and role == "assistant":
+            spans.append({"start": at + len(head), "stop": at + len(head) + len(body)})
+        parts += [head, body, _TAIL]
+        at += len(head) + len(body) + len(_TAIL)
+    return {"conv": conversation, "window": number, "text": "".join(parts), "n_repeated": len(repeated), "n_tokens": sum(t[2] for t in [*repeated, *turns]), "loss": spans}
+
+
+class Conversation:
+    """The windows of one conversation, whose turns (role, text, tokens) come in order."""
+
+    def __init__(self, conversation, budget: int, history: int):
+        self.conversation, self.budget, self.history = conversation, budget, history
+        self.number, self.system = 0, None
+        self.before: list = []  # turns of the last window that may be repeated
+        self.waiting: list = []  # turns in no closed window yet
+
+    def _repeated(self, first: tuple) -> list:
+        """What a window that begins with ``first`` repeats: the system turn and the latest turns that fit."""
+        room = self.budget - first[2] if first[2] <= self.budget else self.budget
+        lead = [self.system] if self.system is not None and self.system[2] <= room else []
+        if first[2] > self.budget:
+            return lead
+        room -= sum(t[2] for t in lead)
+        kept: list = []
+        for turn in self.before[::-1]:
+            if turn[2] > room:
+                break
+            kept.insert(0, turn)
+            room -= turn[2]
+        return lead + kept
+
+    def add(self, turns: list) -> Iterator[dict]:
+        """The windows that ``turns`` close."""
+        self.waiting += turns
+        before = np.concatenate(([0], np.cumsum([t[2] for t in self.waiting])))
+        at = 0
+        while at < len(self.waiting):
+            repeated = self._repeated(self.waiting[at])
+            room = self.budget - sum(t[2] for t in repeated)
+            stop = max(at + 1, int(np.searchsorted(before, before[at] + room, "right")) - 1)
+            if stop >= len(self.waiting):
+                break
+            yield self._close(repeated, self.waiting[at:stop])
+            at = stop
+        self.waiting = self.waiting[at:]
+
+    def _close(self, repeated: list, turns: list) -> dict:
+        row = _window(self.conversation, self.number, repeated, turns)
+        if self.system is None:
+            self.system = next((t for t in turns if t[0] == "system"), None)
+        self.before = [t for t in turns if t is not self.system][-self.history :] if self.history else []
+        self.number += 1
+        return row
+
+    def end(self) -> dict:
+        return self._close(self._repeated(self.waiting[0]), self.waiting)
+
+
+def _windows(rows: Iterator[list[tuple]], budget: int, history: int, count) -> Iterator[dict]:
+    """Windows of batches of rows (conversation, role, text) that come conversation by conversation."""
+    open_ = None
+    for batch in rows:
+        for conversation, turns in groupby(batch, key=lambda r: r[0]):
+            if open_ is None or conversation != open_.conversation:
+                if open_ is not None:
+                    yield open_.end()
+                open_ = Conversation(conversation, budget, history)
+            yield from open_.add([(role, text, 1 + count(text)) for _, role, text in turns])
+    if open_ is not None:
+        yield open_.end()
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
@@ -113,10 +153,9 @@ def format_chats(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, co
     """Windows ``(conv, window, text, n_repeated, n_tokens, loss)``; ``loss`` has code point spans."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (row for frame in frames for row in zip(frame["conv"].tolist(), frame["role"].tolist(), frame["text"].tolist(), strict=True))
-        cleaned = ((None if c is None else int(c), r, t) for c, r, t in rows)
+        batches = ([(None if c is None else int(c), r, t) for c, r, t in zip(frame["conv"].tolist(), frame["role"].tolist(), frame["text"].tolist(), strict=True)] for frame in frames)
         held, size = [], 0
-        for row in _windows(cleaned, budget, history, count):
+        for row in _windows(batches, budget, history, count):
             held.append(row)
             size += len(row["text"])
             if size > 1 << 22:

@@ -60,16 +60,12 @@ def search(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
         floors = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(queries), -np.inf)
         norms = np.sqrt((queries * queries).sum(axis=1))
         bound = queries @ pivots.T + norms[:, None] * radius
-        reach = bound + 1e-9 * (np.abs(bound) + 1) >= floors[:, None]
-        for n in sizes:
-            which = np.flatnonzero(reach[:, n])
-            if len(which):
-                yield n, which, floors[which]
+        return floors, bound + 1e-9 * (np.abs(bound) + 1) >= floors[:, None]
 
-    def solve(query_ids, queries, floors, ids, points):
-        number, gap = nearest(points, pivots)
+    def solve(number, query_ids, queries, floors, ids, points):
+        pivot = pivots[number]
+        gap = np.sqrt(((points - pivot) ** 2).sum(axis=1))
         far = gap.max(initial=0)
-        pivot = pivots[number[0]]
         norms = np.sqrt((queries * queries).sum(axis=1))
         order = np.argsort(-gap, kind="stable")
         found = []
@@ -86,4 +82,4 @@ def search(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
             found.append((a + at_q, prefix[at_x], scores[at_q, at_x]))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-    return meet(data, sizes, vectors.where(queries), route, solve, dim, dtype, k)
+    return meet(data, sizes, len(pivots), vectors.where(queries), route, solve, dim, dtype, k)

@@ -11,10 +11,14 @@ the piece lengths alone, so it has the same size for any corpus:
 4. small lengths go, the largest first, where they fit best; what is left opens sequences.
 
 A plan is a list of runs of alike sequences. A piece finds its place by its rank among the
-pieces of its length; ranks come from counts by (length, hash bucket) and a window inside.
+pieces of its length; ranks come from counts by (length, hash bucket) and a window inside. A
+length has a bucket for every ``BUCKET_ROWS`` of its pieces, so that no window grows with the
+corpus. Full pieces fill a sequence each and need no rank.
 
 Defined results: a null text is empty and is one piece, the end token; repeated rows are
-packed as often as they occur; no rows give no pieces.
+packed as often as they occur; no rows give no pieces. Texts with a run of 2,000 characters
+without white space, or with a special token of the tokenizer, go to the tokenizer itself
+and all others to a faster library with the same vocabulary; both give the same ids.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ from plumbline.llm.common import cut
 
 CAPACITY, END = 1024, 2
 GROUPS = 400
-BUCKETS = 128
+#: Pieces of one length that one window ranks, nearly.
+BUCKET_ROWS = 1 << 16
 #: Longest run without white space that the fast encoder gets.
 _LONG_WORD = re.compile(r"\S{2000}")
 
@@ -236,17 +241,21 @@ class Plan:
 
 def pack(cutted: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``."""
-    found = cut(cutted.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(BUCKETS)).cast("int")))
-    counts = np.zeros((capacity + 1, BUCKETS), np.int64)
-    for r in found.groupBy("length", "bucket").count().collect():  # at most capacity * BUCKETS rows
-        counts[r["length"], r["bucket"]] = r["count"]
-    base = np.cumsum(counts, axis=1) - counts
-    slots = Plan(counts.sum(axis=1), capacity, groups).slots()
+    found = cut(cutted)
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in found.groupBy("length").count().collect():  # at most capacity rows
+        counts[r["length"]] = r["count"]
+    plan = Plan(counts, capacity, groups)
+    slots = plan.slots()
+    buckets = F.element_at(F.array(*(F.lit(int(-(-c // BUCKET_ROWS) or 1)) for c in counts[:capacity])), (F.col("length") + 1).cast("int"))
+    short = found.where(F.col("length") < capacity).withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), buckets).cast("int"))
+    sums = short.groupBy("length", "bucket").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    bases = sums.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            length = frame["length"].to_numpy()
-            rank = frame["within"].to_numpy() - 1 + base[length, frame["bucket"].to_numpy()]
+            length, rank = frame["length"].to_numpy(), frame["rank"].to_numpy()
             sequence, offset = np.empty(len(frame), np.int64), np.empty(len(frame), np.int64)
             for n in np.unique(length):
                 at = np.flatnonzero(length == n)
@@ -254,10 +263,12 @@ def pack(cutted: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
                 slot = np.searchsorted(first, rank[at], "right") - 1
                 sequence[at] = start[slot] + rank[at] - first[slot]
                 offset[at] = where[slot]
-            yield frame.drop(columns=["bucket", "within"]).assign(sequence_id=sequence, offset=offset)
+            yield frame.drop(columns=["rank"]).assign(sequence_id=sequence, offset=offset)
 
     inside = W.partitionBy("length", "bucket").orderBy("id", "piece", "start", "ids_crc32")
-    ranked = found.withColumn("within", F.row_number().over(inside).cast("long"))
+    ranked = short.withColumn("within", F.row_number().over(inside).cast("long")).join(bases, ["length", "bucket"])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cutted.schema.fields)
-    columns = [*cutted.columns, "bucket", "within"]
-    return ranked.select(*columns).mapInPandas(place, f"{kinds}, sequence_id long, offset long")
+    shorter = ranked.select(*cutted.columns, (F.col("base") + F.col("within") - 1).alias("rank")).mapInPandas(place, f"{kinds}, sequence_id long, offset long")
+    # any number that no other sequence has; the rows are those of written files, in their order
+    full = found.where(F.col("length") == capacity).select(*cutted.columns, (F.monotonically_increasing_id() + F.lit(plan.sequences)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return shorter.unionByName(full)

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import as_bytes, cut, row_key
 
 SAMPLE = 8192
+#: Words among which distinct ones are counted.
+RUN = 1000
 WIDTH = 1 << 11
 GOOD, BAD, NONE = 0, 1, 2
 _SHAPE = bytes(ord("X") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else ord("x") if 97 <= b <= 122 or b >= 128 else b for b in range(256))
@@ -35,6 +37,12 @@ _RUNS = re.compile(rb"(.)\1+", re.S)
 _SYMBOLS = b"#$%&*+<=>@^_`{|}~\\"
 
 
+def distinct_share(words: list[bytes]) -> float:
+    """Distinct words over words, as the mean over runs of ``RUN`` words: it does not fall with length."""
+    runs = [words[i : i + RUN] for i in range(0, len(words), RUN)]
+    return sum(len(set(r)) for r in runs) / max(1, len(words))
+
+
 def measures(text: bytes) -> dict[str, float]:
     """Shares and rates that the labellers and the features use."""
     words = text.split()
@@ -47,7 +55,7 @@ def measures(text: bytes) -> dict[str, float]:
         "capitals": shape.count(b"X") / size,
         "bars": text.count(b"|") / n,
         "shouts": text.count(b"!") / n,
-        "distinct": len(set(words)) / n,
+        "distinct": distinct_share(words),
         "stops": (text.count(b".") + text.count(b"?")) / n,
         "line_repeats": 1 - len(set(lines)) / max(1, len(lines)),
         "word_bytes": size / n,
@@ -82,7 +90,7 @@ def features(text: bytes, m: dict[str, float], width: int = WIDTH) -> tuple[np.n
         weight[zlib.crc32(f"{name}:{int(min(step, 40))}".encode()) % width] += 1.0
     shapes = Counter(_RUNS.sub(rb"\1", text.translate(_SHAPE)).split())
     total = max(1, sum(shapes.values()))
-    for shape, count in shapes.most_common(64):
+    for shape, count in shapes.items():
         weight[zlib.crc32(b"shape:" + shape) % width] += 4 * count / total
     at = np.fromiter(weight.keys(), np.uint16, len(weight))
     return at, np.fromiter(weight.values(), np.float32, len(weight))

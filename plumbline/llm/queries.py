@@ -40,7 +40,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 def op5_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,14 +108,15 @@ w as (
   select *, cast(total - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as double)
     / cast(sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as double) as level from w
 ), t as (
-  select source, source_size, least(cast(cap as double), (select min_by(level, cap / weight) from l where level * weight <= cap) * weight) as target from l
+  select source, source_size, weight = 5 as falls, least(cast(cap as double), (select min_by(level, cap / weight) from l where level * weight <= cap) * weight) as target from l
 ), o as (
-  select d.doc_id, d.size, t.source_size, t.target, cast(floor(t.target) as bigint) as whole,
+  select d.doc_id, d.size, t.source_size, t.target, t.falls, cast(floor(t.target) as bigint) as whole,
     coalesce(sum(d.size) over (partition by d.source order by d.hash, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as start
   from d join t on d.source is not distinct from t.source
 )
 select doc_id, cast(size as bigint) as size, source_size, target,
-  cast(case when source_size > 0 then whole // source_size * size + greatest(0, least(size, whole % source_size - start)) else 0 end as bigint) as taken
+  cast(case when source_size > 0 then whole // source_size * size + greatest(0, least(size, whole % source_size - start)) else 0 end as bigint) as taken,
+  case when size > 0 and start < whole then round(least(1.0, case when falls then 2 * (start / target) / (1.5 + sqrt(2.25 - 2 * (start / target))) else 2 * (start / target) / (0.5 + sqrt(0.25 + 2 * (start / target))) end), 9) end as position
 from o
 """
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, cut, shuffle_partitions
+from plumbline.llm.common import as_bytes, cut, join_unique, shuffle_partitions
 from plumbline.llm.components import connected_components
 from plumbline.llm.repeats import mixed
 
@@ -235,12 +235,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _classes(prints: DataFrame, search, id_col: str) -> DataFrame:
     prints = cut(prints)
     nodes = cut(prints.groupBy("print").agg(F.min(F.struct(F.col("id").isNotNull(), "id")).alias("low")))
-    joined = cut(connected_components(search(nodes.select("print"))))
-    lows = nodes.join(joined, nodes["print"] == joined["node"], "left").select(nodes["print"], "low", F.coalesce("component", nodes["print"]).alias("root"))
-    smallest = lows.groupBy("root").agg(F.min("low").alias("least"))
-    classes = lows.join(smallest, "root").select("print", F.col("least.id").alias("component"))
-    # a fingerprint may be that of a third of all rows: the row side can be split, classes are unique
-    return prints.join(classes, "print", "left").select(F.col("id").alias(id_col), "print", "component")
+    joined = connected_components(search(nodes.select("print"))).withColumnRenamed("node", "print")
+    linked = cut(joined.join(nodes, "print"))
+    smallest = linked.groupBy("component").agg(F.min("low").alias("least"))
+    # a class and a fingerprint may each have a third of all rows
+    of_linked = cut(join_unique(linked.select("print", "component"), smallest, "component").select("print", "least"))
+    classes = nodes.join(of_linked, "print", "left").select("print", F.coalesce("least", "low")["id"].alias("component"))
+    return join_unique(prints, classes, "print").select(F.col("id").alias(id_col), "print", "component")
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

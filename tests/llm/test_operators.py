@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import ann, automaton_dedup, chat, components, knn_join, mixing, packing, quality, queries, simhash, suffix_dedup, url_filter
+from plumbline.llm.common import cut
 from plumbline.llm.suffix_index import NOBODY, first_owners
 
 SF = "/root/testdata/sf0.001"
@@ -291,7 +292,7 @@ def test_rows_of_one_id_keep_their_texts(spark):
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.when(F.col("doc_id") % 3 == 1, F.lit(1))).otherwise(F.col("doc_id")))
     key = F.coalesce(F.col("doc_id"), F.lit(-1))
-    scored = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "lang", "source", "n_chars").localCheckpoint()
+    scored = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "lang", "source", "n_chars"))
     by_row = {r.row: r.good for r in quality._scored(scored, "doc_id", "text").join(scored.withColumn("key", quality.row_key("doc_id", "text")), "key").select("row", "good").collect()}
     assert not all(by_row.values())
     want = Counter((r.id, r.text) for r in scored.select("row", key.alias("id"), "text").collect() if by_row[r.row])
