@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.functions.stemmer import stems
+from plumbline.session import spread
 
 DEPTH = 2000
 
@@ -38,23 +39,36 @@ VANILLA = LexicalParams(k1=1.5, b=0.75, bigrams=False, translate=False)
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``postings(term, doc_idx, tf)``, ``terms(term, df, idf)``, ``docs(doc_idx, dl)``, ``corpus(n, avgdl)``."""
+    """``tokens(doc_idx, tokens)``, ``postings(term, doc_idx, tf)``, ``terms(term, df, idf)``,
+    ``docs(doc_idx, dl)``, ``corpus(n, avgdl)``."""
 
     params: LexicalParams
+    tokens: DataFrame
     postings: DataFrame
     terms: DataFrame
     docs: DataFrame
     corpus: DataFrame
 
-    def write(self, path: str) -> None:
-        """Postings go sorted by term, so that a reader's filters skip row groups."""
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("terms", "docs", "corpus"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    def write(self, path: str) -> LexicalIndex:
+        """The index at ``path``: each table is made from those written before it, once.
+
+        Postings go sorted by term, so that a reader's filters skip row groups.
+        """
+        spark = self.tokens.sparkSession
+
+        def stored(name: str, table: DataFrame) -> DataFrame:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            return spark.read.parquet(f"{path}/{name}")
+
+        tokenised = spread(stored("tokens", spread(self.tokens)))
+        postings = stored("postings", term_frequency(tokenised, "doc_idx").repartition("term").sortWithinPartitions("term"))
+        made = index_of(tokenised, postings, self.params)
+        corpus = stored("corpus", made.corpus)
+        return LexicalIndex(self.params, tokenised, postings, stored("terms", made.terms), stored("docs", made.docs), corpus)
 
     @staticmethod
     def read(spark: SparkSession, path: str, params: LexicalParams) -> LexicalIndex:
-        return LexicalIndex(params, *(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "docs", "corpus")))
+        return LexicalIndex(params, *(spark.read.parquet(f"{path}/{name}") for name in ("tokens", "postings", "terms", "docs", "corpus")))
 
 
 def tokens(texts: DataFrame, key: str, text: Column, params: LexicalParams) -> DataFrame:
@@ -81,13 +95,17 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
-def build_index(collection: DataFrame, text: Column, params: LexicalParams = LexicalParams()) -> LexicalIndex:  # noqa: B008
-    tokenised = tokens(collection, "doc_idx", text, params).persist()
-    postings = term_frequency(tokenised, "doc_idx").persist()
+def index_of(tokenised: DataFrame, postings: DataFrame, params: LexicalParams) -> LexicalIndex:
     corpus = corpus_stats(tokenised)
     counts = postings.groupBy("term").agg(F.count("*").alias("df"))
     terms = counts.join(F.broadcast(corpus)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
-    return LexicalIndex(params, postings, terms, tokenised.select("doc_idx", F.size("tokens").cast("long").alias("dl")), corpus)
+    return LexicalIndex(params, tokenised, postings, terms, tokenised.select("doc_idx", F.size("tokens").cast("long").alias("dl")), corpus)
+
+
+def build_index(collection: DataFrame, text: Column, params: LexicalParams = LexicalParams()) -> LexicalIndex:  # noqa: B008
+    """The index as a lazy plan; what is read more than once should be written first."""
+    tokenised = tokens(collection, "doc_idx", text, params)
+    return index_of(tokenised, term_frequency(tokenised, "doc_idx"), params)
 
 
 def bm25_weight(idf_: Column, tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators.lexical import best, bm25_weight, corpus_stats, okapi_idf, padded, term_frequency
+from plumbline.session import cut
 
 DEPTH, K1, B = 10, 1.5, 0.75
 
@@ -20,14 +21,15 @@ def proxy_texts(claims: DataFrame) -> DataFrame:
 def hard_negatives(collection: DataFrame, claims: DataFrame) -> DataFrame:
     """``(lang, query_idx, anchor, positive, negative, negative_idx)`` of labelled claims.
 
-    Each distinct (search text, label) is scored once. Documents are ranked by Okapi BM25
-    to ten places, filled with the first documents; the first that is not the label is taken.
+    Each distinct (search text, label) is scored once, under a number of its own. Documents
+    are ranked by Okapi BM25 to ten places, filled with the first documents; the first that is
+    not the label is taken. Articles join only the documents that were picked.
     """
     docs = collection.select("doc_idx", "pubkey", X.article_text(F.col("title"), F.col("abstract")).alias("article"))
     wanted = proxy_texts(claims).join(docs.select("pubkey", F.col("article").alias("positive")), "pubkey")
-    keys = wanted.select("search_text", "pubkey").distinct().select("search_text", "pubkey", F.xxhash64("search_text", "pubkey").alias("query_idx")).persist()
-    tokenised = docs.select("doc_idx", X.whitespace_terms(F.col("article")).alias("tokens")).persist()
-    postings = term_frequency(tokenised, "doc_idx").persist()
+    keys = cut(wanted.select("search_text", "pubkey").distinct()).withColumn("query_idx", F.monotonically_increasing_id())
+    tokenised = cut(docs.select("doc_idx", X.whitespace_terms(F.col("article")).alias("tokens")))
+    postings = cut(term_frequency(tokenised, "doc_idx"))
     corpus = corpus_stats(tokenised)
     counted = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus.select("n")))
     terms = okapi_idf(counted, F.col("n"))
@@ -37,7 +39,14 @@ def hard_negatives(collection: DataFrame, claims: DataFrame) -> DataFrame:
     weight = F.col("qtf") * bm25_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), K1, B)
     scores = rows.groupBy("query_idx", "doc_idx").agg(F.sum(weight).alias("score"))
     ranked = padded(best(scores, DEPTH), keys, docs, DEPTH)
-    wrong = ranked.join(docs.select("doc_idx", F.col("pubkey").alias("key"), "article"), "doc_idx").join(keys, "query_idx").where(F.col("key") != F.col("pubkey"))
-    picked = wrong.groupBy("search_text", "pubkey").agg(F.min_by(F.struct("article", "doc_idx"), "rank").alias("n"))
-    out = wanted.join(picked, ["search_text", "pubkey"]).where("n.article <> ''")
-    return out.select("lang", "query_idx", F.col("text").alias("anchor"), "positive", F.col("n.article").alias("negative"), F.col("n.doc_idx").alias("negative_idx"))
+    wrong = ranked.join(docs.select("doc_idx", F.col("pubkey").alias("key")), "doc_idx").join(keys, "query_idx").where(F.col("key") != F.col("pubkey"))
+    picked = wrong.groupBy("search_text", "pubkey").agg(F.min_by("doc_idx", "rank").alias("doc_idx"))
+    negatives = picked.join(docs.select("doc_idx", F.col("article").alias("negative")), "doc_idx").where("negative <> ''")
+    out = wanted.join(negatives.withColumnRenamed("doc_idx", "negative_idx"), ["search_text", "pubkey"])
+    return out.select("lang", "query_idx", F.col("text").alias("anchor"), "positive", "negative", "negative_idx")
+
+
+def missing_positives(collection: DataFrame, claims: DataFrame) -> int:
+    """How many labelled claims name a document that the collection does not have."""
+    named = claims.where("pubkey is not null and pubkey <> ''")
+    return named.join(collection.select("pubkey"), "pubkey", "left_anti").count()

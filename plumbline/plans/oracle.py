@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import zipfile
+from pathlib import Path
+
+import pyspark
+
 _U = r"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}_]+'), lambda t: length(t) > 1)"
 _W = r"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[\x09-\x0D\x1C-\x20\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda t: t <> '')"
 _PAIR = "case when len({u}) >= 2 then list_concat({u}, list_transform(range(1, len({u})), lambda i: {u}[i] || '_' || {u}[i + 1])) else {u} end"
@@ -135,10 +141,10 @@ def oracle_sql() -> dict[str, str]:
         "doc_text_fielded": f"with {_COLL} select doc_idx, md5('Title: ' || trim(title, ' ') || ' | Abstract: ' || trim(abstract, ' ') || case when trim(coalesce(venue, ''), ' ') <> '' then ' | Venue: ' || trim(venue, ' ') else '' end) as text_md5 from coll",
         "doc_text_boosted": f"with {_COLL} select doc_idx, md5(trim(concat_ws(' ', title, title, title, coalesce(venue, ''), coalesce(venue, ''), abstract), ' ')) as text_md5 from coll",
         "dense_text_truncated": f"with {_COLL} select doc_idx, length(substring(title || chr(10) || abstract, 1, 2048)) as n_chars, md5(substring(title || chr(10) || abstract, 1, 2048)) as text_md5 from coll",
-        "normalize_claims": f"""with s as (select conv_id, turn, text || ' #tag @user https://example.org/a?b www.example.org ' as t from conversations where role = 'user'),
+        "normalize_claims": f"""with s as (select conv_id, turn, text || ' #tag @user https://example.org/a?b www.example.org ' as t from conversations),
 n as (select conv_id, turn, t, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(t, 'https?://[^\\s]+|www\\.[^\\s]+', '', 'g'), '@[\\p{{L}}\\p{{N}}_]+', '', 'g'), '{_SYMBOLS}', ' ', 'g'), '#', ' '), '{_SPACES}', ' ', 'g'), ' ') as o from s)
 select conv_id, turn, md5(case when o = '' then t else o end) as claim_md5 from n""",
-        "distinctive_terms": r"""with w as (select conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda t: length(t) >= 6 and regexp_full_match(t, '\p{L}+')) as w from conversations where role = 'user')
+        "distinctive_terms": r"""with w as (select conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda t: length(t) >= 6 and regexp_full_match(t, '\p{L}+')) as w from conversations)
 select conv_id, turn, array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]), ' ') as terms from w""",
         "whitespace_terms": f"select doc_id, len({w}) as n_terms, md5(array_to_string({w}, ' ')) as terms_md5 from documents",
         "text_fingerprints": """with r as (select lang, ('0x' || substring(sha256(cast(doc_id as varchar) || ':' || sha256(coalesce(text, ''))), 1, 12))::bigint as v from documents)
@@ -184,4 +190,26 @@ select r.query_idx, r.rank + 1 as place, c.pubkey, replace(replace(replace(repla
         "prf_terms": f"with {base}, {_feedback('scores')} select query_idx, term, round(weight, 6) as weight from feed",
         "bm25_expanded_top5": f"with {base}, {grown}, {_feedback('wide')}, total as (select query_idx, doc_idx, sum(score) as score from (select * from wide union all {flat.format(w='feed')}) group by 1, 2), {_NORM.format(s='total')}, {_rank('normed', 5)} {_OUT} ranked",
     }
+    some = "select {t}.* from {t} join claims using (query_idx) where claims.lang = 'en'"
+    spread = f"{_EDGES}, asked_en as ({some.format(t='asked')}), scores_en as ({some.format(t='scores')}), {_DIFFUSE.replace('from asked)', 'from asked_en)')}, wide as (select query_idx, doc_idx, sum(score) as score from (select * from scores_en union all {flat.format(w='w2')}) group by 1, 2)"
+    whole = f"total as (select query_idx, doc_idx, sum(score) as score from (select * from wide union all {flat.format(w='feed')} union all select scores.* from scores join claims using (query_idx) where claims.lang <> 'en') group by 1, 2)"
+    sql["pipeline_hybrid"] = f"""with {_bm25(*_PLAIN)}, {spread}, {_feedback('wide')}, {whole}, {_NORM.format(s='total')}, {_rank('normed', 2000)}, {_pad(2000)},
+{_DENSE}, {_rank('sims', 1 << 30, 'dense')}, lists as (select 0 as list_no, * from dense union all select 1, query_idx, doc_idx, score, rank from pad), {_FUSED}, heads as (select * from fused where rank < 30), {_overlap('heads')} {_OUT} final where rank < 5"""
+    if not stop_words():
+        return sql
+    words = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words())
+    sql["stop_word_counts"] = f"with {_tokens('tok', 'doc_id as doc_idx', 'documents', False)} select doc_idx, len(list_filter(tokens, lambda t: t not in ({words}))) as n_tokens from tok"
     return sql
+
+
+def stop_words() -> list[str]:
+    """The library's English, German and French lists, read from its own files; none where these are not at hand."""
+    found: set[str] = set()
+    folders = [Path(pyspark.__file__).parent / "jars", Path(os.environ.get("SPARK_HOME", "")) / "jars"]
+    jars = [jar for folder in folders for jar in folder.glob("spark-mllib_*.jar")]
+    if not jars:
+        return []
+    with zipfile.ZipFile(jars[0]) as files:
+        for lang in ("english", "german", "french"):
+            found |= {w.strip().lower() for w in files.read(f"org/apache/spark/ml/feature/stopwords/{lang}.txt").decode().splitlines() if w.strip()}
+    return sorted(found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from plumbline.functions.stemmer import stems
 from plumbline.operators import dense, expansion, fusion, lexical, metrics, mining, rerank
 from plumbline.operators.lexical import LexicalParams
 from plumbline.plans import hybrid
+from plumbline.session import shared_folder, spread
 from plumbline.sources import exports
 from plumbline.sources.tables import as_claims, as_collection, merge_collections, read_table
 
@@ -22,19 +24,35 @@ PAD = 2000
 
 
 def _docs(spark, d):
-    return read_table(spark, d, "documents")
+    return spread(read_table(spark, d, "documents"))
 
 
 def _collection(spark, d):
     return as_collection(_docs(spark, d))
 
 
+#: Folders of tables that several queries of an application share, by input and settings.
+_STORED: dict[tuple, str] = {}
+
+
+def _stored(spark, d, what, write):
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _STORED:
+        path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def _claims(spark, d):
-    return as_claims(read_table(spark, d, "benchmark"), _docs(spark, d))
+    claims = lambda path: as_claims(read_table(spark, d, "benchmark"), _docs(spark, d)).write.parquet(path)
+    return spark.read.parquet(_stored(spark, d, "claims", claims))
 
 
 def _index(spark, d, params):
-    return lexical.build_index(_collection(spark, d), F.col("text"), params)
+    """The index of a table is built once, sorted by term, and read by every query."""
+    write = lambda path: lexical.build_index(_collection(spark, d), F.col("text"), params).write(path)
+    return lexical.LexicalIndex.read(spark, _stored(spark, d, params, write), params)
 
 
 def _tokens(spark, d, params):
@@ -70,7 +88,7 @@ def dense_text_truncated(spark, d):
 
 
 def _said(spark, d):
-    return read_table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    return read_table(spark, d, "conversations").select("conv_id", "turn", "text")
 
 
 def normalize_claims(spark, d):
@@ -138,7 +156,7 @@ def bm25_rank_padded(spark, d):
 
 
 def cooccurrence_edges(spark, d):
-    graph = expansion.edges(_tokens(spark, d, PAIRED))
+    graph = expansion.edges(_index(spark, d, PAIRED).tokens)
     return graph.groupBy("term").agg(F.count("*").alias("degree"), F.sum("cnt").alias("total"))
 
 
@@ -148,28 +166,28 @@ def _asked(spark, d):
 
 
 def top_neighbors(spark, d):
-    near = expansion.strongest(expansion.edges(_tokens(spark, d, PAIRED), _asked(spark, d)))
+    near = expansion.strongest(_index(spark, d, PAIRED).tokens, _asked(spark, d))
     return near.select("term", "neighbor", "cnt", F.col("nth").cast("long").alias("nth"), _six("share"))
 
 
 def diffusion_weights(spark, d):
-    return expansion.diffuse(_asked(spark, d), tokenised=_tokens(spark, d, PAIRED)).select("query_idx", "term", _six("weight"))
+    return expansion.diffuse(_asked(spark, d), tokenised=_index(spark, d, PAIRED).tokens).select("query_idx", "term", _six("weight"))
 
 
 def prf_terms(spark, d):
     index = _index(spark, d, PAIRED)
     asked = _asked(spark, d)
-    return expansion.feedback_terms(lexical.bm25_scores(index, asked), index.postings, _tokens(spark, d, PAIRED)).select("query_idx", "term", _six("weight"))
+    return expansion.feedback_terms(lexical.bm25_scores(index, asked), index.postings, index.tokens).select("query_idx", "term", _six("weight"))
 
 
 def bm25_expanded_top5(spark, d):
     index = _index(spark, d, PAIRED)
     asked = _asked(spark, d)
-    return _ranked(lexical.best(lexical.normalized(expansion.expanded_scores(index, lexical.bm25_scores(index, asked), asked, _tokens(spark, d, PAIRED))), 5))
+    return _ranked(lexical.best(lexical.normalized(expansion.expanded_scores(index, lexical.bm25_scores(index, asked), asked, index.tokens)), 5))
 
 
 def _vectors(spark, d):
-    return read_table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_idx"), F.col("embedding").alias("vec"))
+    return spread(read_table(spark, d, "embeddings")).select(F.col("vec_id").alias("doc_idx"), F.col("embedding").alias("vec"))
 
 
 def _query_vectors(spark, d):

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -26,3 +26,32 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(top.parent))
     context.addPyFile(str(archive))
     _SHIPPED.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, as a cluster names it in ``spark.checkpoint.dir``.
+
+    Only on one machine, where that is unset (tests), a temporary folder takes its place.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder; its lineage ends there, and Spark deletes it with the last reference."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where it comes in fewer pieces, as a table of one file does.
+
+    A table of more pieces than cores, as any large one is, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

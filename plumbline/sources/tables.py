@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +55,29 @@ def read_papers(spark: SparkSession, path: str, start_id: int = CUSTOM_START) ->
     return rows.select((F.monotonically_increasing_id() + start_id).cast("string").alias("pubkey"), field("Title").alias("title"), field("Abstract").alias("abstract"), field("Venue").alias("venue"), field("Authors").alias("authors"))
 
 
+def append_papers(collection: DataFrame, papers: DataFrame) -> DataFrame:
+    """``collection`` followed by ``papers``, whatever keys they have; numbering goes on after the last."""
+    last = collection.agg(F.coalesce(F.max("doc_idx"), F.lit(-1)).alias("last"))
+    order = W.orderBy(F.col("pubkey").cast("long"), "pubkey")
+    names = F.filter(F.transform(F.split("authors", ","), lambda a: F.trim(a)), lambda a: a != "")
+    fields = {"authors": names} if dict(papers.dtypes).get("authors") == "string" else {}
+    numbered = papers.withColumns(fields).withColumn("nth", F.row_number().over(order)).join(F.broadcast(last)).withColumn("doc_idx", F.col("last") + F.col("nth"))
+    return collection.unionByName(numbered.drop("nth", "last"), allowMissingColumns=True)
+
+
+def parse_languages(value: str) -> list[str]:
+    """The names of a comma-separated list, trimmed; blanks are dropped."""
+    return [name for part in value.split(",") if (name := part.strip())]
+
+
+def metrics_split(split: str) -> str:
+    """A split that has labels to measure by: any but the test split."""
+    name = checked_split(split)
+    if name == "test":
+        raise ValueError("the test split has no labels, so there are no metrics of it")
+    return name
+
+
 def read_triplets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRIPLETS).json(path)
 
@@ -68,16 +92,33 @@ def as_collection(documents: DataFrame) -> DataFrame:
 
 
 def as_claims(benchmark: DataFrame, documents: DataFrame) -> DataFrame:
-    """Benchmark passages as claims: the label is the first document that has the passage.
-
-    The passages are the stated query set of this search and are compared with every text.
-    """
-    hits = documents.select("doc_id", "lang", F.col("text").alias("doc_text")).join(F.broadcast(benchmark), F.expr("contains(doc_text, text)"))
-    labels = hits.groupBy("item_id").agg(F.min(F.struct("doc_id", "lang")).alias("hit"))
+    """Benchmark passages as claims: the label is the first document that has the passage."""
+    labels = containing(benchmark, documents).groupBy("item_id").agg(F.min(F.struct("doc_id", "lang")).alias("hit"))
     joined = benchmark.join(labels, "item_id", "left")
     return joined.select(F.coalesce("hit.lang", F.lit("auto")).alias("lang"), F.col("item_id").alias("query_idx"), "text", F.col("hit.doc_id").cast("string").alias("pubkey"))
 
 
+def containing(passages: DataFrame, documents: DataFrame) -> DataFrame:
+    """``(item_id, doc_id, lang)``: the documents whose text has the text of a passage.
+
+    A passage's parts between spaces, but for the first and last, are parts of any text that
+    has it. So passages of five parts or more meet only documents with the same three
+    inner parts, and then the texts decide. Shorter passages are compared with every text.
+    """
+    parts = F.split("text", " ")
+    three = lambda p, i: F.xxhash64(p[i], p[i + 1], p[i + 2])
+    items = passages.select("item_id", F.col("text").alias("passage"), parts.alias("parts"))
+    long = items.where(F.size("parts") >= 5).select("item_id", "passage", three(F.col("parts"), 1).alias("gram"))
+    texts = documents.select("doc_id", "lang", "text")
+    grams = texts.select("doc_id", parts.alias("parts")).where(F.size("parts") >= 5)
+    grams = grams.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("parts") - 3), lambda i: three(F.col("parts"), i)))).alias("gram"))
+    routed = grams.join(long.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
+    met = texts.join(routed, "doc_id").join(long.select("item_id", "passage"), "item_id").where(F.contains("text", F.col("passage")))
+    short = items.where(F.size("parts") < 5).select("item_id", "passage")
+    few = texts.join(short, F.contains("text", F.col("passage")))
+    return met.select("item_id", "doc_id", "lang").unionByName(few.select("item_id", "doc_id", "lang"))
+
+
 def merge_collections(base: DataFrame, custom: DataFrame) -> DataFrame:
     """``base`` with rows of ``custom`` put in by key: known keys keep their place, new ones follow.
 

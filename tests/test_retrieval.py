@@ -182,3 +182,182 @@ def test_query_matches_sql(spark, name):
     want = sorted(repr([dict(zip(columns, r, strict=True))[c] for c in order]) for r in cursor.fetchall())
     spark.catalog.clearCache()
     assert got == want
+
+
+def papers(spark):
+    rows = [(0, "p0", "en", "solar wind reaches the outer planets"), (1, "p1", "en", "deep sea coral grows slowly"), (2, "p2", "de", "wind turbines and solar panels"), (3, "p3", "en", "coral and wind"), (4, "p4", "en", "nothing alike")]
+    return spark.createDataFrame(rows, "doc_idx long, pubkey string, lang string, text string")
+
+
+def said(spark):
+    return spark.createDataFrame([(0, "en", "solar wind", "p0"), (1, "de", "coral sea", "p1"), (2, "en", "planets", None)], "query_idx long, lang string, text string, pubkey string")
+
+
+def letters():
+    class Letters:
+        """An encoder that counts letters."""
+
+        prompt = ""
+
+        def encode(self, texts):
+            import numpy as np
+
+            return np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], np.float32)
+
+    return Letters
+
+
+def longest_first():
+    class LongestFirst:
+        def rank(self, claim, documents):
+            return sorted(((i, float(len(d))) for i, d in enumerate(documents)), key=lambda p: -p[1])
+
+    return LongestFirst
+
+
+def test_sparse_sets_and_their_errors(spark, tmp_path):
+    from plumbline.plans.engine import SparseRetriever
+
+    one = SparseRetriever(PLAIN, cache_root=str(tmp_path))
+    with pytest.raises(ValueError):
+        one.index_queries(said(spark))
+    with pytest.raises(ValueError):
+        one.search("wind")
+    one.index(papers(spark))
+    with pytest.raises(ValueError):
+        one.index_queries(said(spark), top_k=0)
+    one.index_queries(said(spark), "claims", top_k=3)
+    rows = one.ranked("claims").orderBy("query_idx", "rank").collect()
+    assert [r["rank"] for r in rows] == [0, 1, 2] * 3 and rows[0].doc_idx == 0  # filled up to three
+    assert [r.doc_idx for r in one.search(1, cache_name="claims").orderBy("rank").collect()] == [r.doc_idx for r in rows[3:6]]
+    with pytest.raises(TypeError):
+        one.search("wind", cache_name="claims")
+    with pytest.raises(TypeError):
+        one.search(1)
+    with pytest.raises(KeyError):
+        one.search(1, cache_name="other")
+    with pytest.raises(IndexError):
+        one.search(3, cache_name="claims")
+    with pytest.raises(IndexError):
+        one.search(-1, cache_name="claims")
+    assert one.search("solar wind", "en").count() == 5
+
+    again = SparseRetriever(PLAIN, cache_root=str(tmp_path))
+    again.index(papers(spark))
+    kept = list(tmp_path.rglob("_SUCCESS"))
+    again.index_queries(said(spark), "claims", top_k=3)
+    assert list(tmp_path.rglob("_SUCCESS")) == kept  # read, not made again
+    again.index_queries(said(spark).withColumn("text", F.lit("coral")), "claims", top_k=3)
+    assert len(list(tmp_path.rglob("_SUCCESS"))) == len(kept) + 1  # other texts, another path
+
+
+def test_dense_sets_and_their_errors(spark):
+    from plumbline.plans.engine import DenseRetriever
+
+    one = DenseRetriever(letters())
+    with pytest.raises(ValueError):
+        one.index_queries(said(spark))
+    one.index(papers(spark))
+    with pytest.raises(ValueError):
+        one.ranked()
+    one.index_queries(said(spark), "claims")
+    assert one.search(0, "claims").count() == 5 and one.ranked().count() == 15
+    with pytest.raises(KeyError):
+        one.ranked("other")
+    with pytest.raises(RuntimeError):
+        DenseRetriever().index(papers(spark))
+
+
+def test_engine(spark, tmp_path):
+    from plumbline.plans.engine import Component, DenseRetriever, Engine, EngineConfig, SparseRetriever
+
+    config = EngineConfig((Component("letters"), Component("sparse")), fusion_top_k=4, final_top_k=2)
+    engine = Engine(config, {"letters": DenseRetriever(letters()), "sparse": SparseRetriever(PLAIN)}, lambda *a: rerank.rerank_listwise(*a, longest_first()))
+    with pytest.raises(ValueError):
+        engine.search_text("wind")
+    engine.index_collection(papers(spark))
+    engine.index_claims(said(spark), "claims")
+    with pytest.raises(KeyError):
+        engine.search_cached(0, "other")
+    stages = engine.stages("claims")
+    assert set(stages) == {"dense", "sparse", "rrf", "final"} and stages["rrf"].count() == 12
+    fused = {r.doc_idx for r in stages["rrf"].where("query_idx = 0").collect()}
+    longest = sorted(((len(r.text), r.pubkey) for r in papers(spark).collect() if r.doc_idx in fused), reverse=True)
+    assert engine.search_cached(0, "claims")["preds"] == [k for _, k in longest[:2]]
+    found = engine.search_text("solar wind", "en")
+    assert len(found["preds"]) == 2 and found["stages"]["sparse"].count() == 5
+
+    plain = Engine(config, engine.retrievers)
+    plain.index_collection(papers(spark))
+    found = plain.search_text("solar wind")
+    assert found["stages"]["final"].collect() == found["stages"]["rrf"].collect()
+
+    forest = Engine(EngineConfig(config.retrievers, fusion=" RF ", fusion_top_k=3), engine.retrievers)
+    forest.index_collection(papers(spark))
+    with pytest.raises(RuntimeError):
+        forest.index_claims(said(spark), "claims")
+        forest.stages("claims")
+    with pytest.raises(ValueError):
+        forest.fuser.load_if_present(spark, str(tmp_path), "none") or Engine(EngineConfig((Component("sparse"),), fusion="rf"), {"sparse": engine.retrievers["sparse"]}).prepare_forest(str(tmp_path), said(spark))
+    assert forest.prepare_forest(str(tmp_path), said(spark)) is False
+    want = forest.stages("claims")["rrf"].orderBy("query_idx", "rank").collect()
+    later = Engine(forest.config, engine.retrievers)
+    later.index_collection(papers(spark))
+    assert later.prepare_forest(str(tmp_path), said(spark)) is True
+    later.index_claims(said(spark), "claims")
+    assert later.stages("claims")["rrf"].orderBy("query_idx", "rank").collect() == want
+    with pytest.raises(ValueError):
+        later.fuser.fuse_lists([want], 3)
+    with pytest.raises(ValueError):
+        fusion.RandomForestFuser().load(next(str(p) for p in tmp_path.iterdir()), "another")
+
+
+def test_registry():
+    from plumbline.plans import registry
+    from plumbline.plans.engine import DenseRetriever, SparseRetriever, stage_keys
+
+    assert isinstance(registry.create_retriever("bge-m3", {"adapter": "some/adapter"}), DenseRetriever)
+    assert registry.create_retriever("sparse", {"k1": 1.5}).params.k1 == 1.5
+    for make in (registry.create_retriever, registry.create_reranker):
+        with pytest.raises(ValueError):
+            make("no such")
+    config = registry.engine_config("demo")
+    assert [r.name for r in config.retrievers] == ["harrier-270m", "sparse"] and config.reranker.name == "nemotron" and config.final_top_k == 5
+    assert not registry.engine_config("retrieval-only").reranker.enabled
+    assert registry.engine_config("evaluation", fusion=" RF").fusion == "rf"
+    for bad in (lambda: registry.engine_config("other"), lambda: registry.engine_config("demo", fusion="other"), lambda: registry.build_engine(registry.engine_config("custom", dense_model=None, sparse=None))):
+        with pytest.raises(ValueError):
+            bad()
+    engine = registry.build_engine(registry.engine_config("custom", dense_model="bge-m3", sparse=LexicalParams(k1=2.0), reranker="lexical"))
+    assert engine.retrievers["sparse"].params.k1 == 2.0 and engine.reranker is rerank.rerank_lexical
+    registry.register_retriever("mine", lambda **p: SparseRetriever(LexicalParams(**p)))
+    assert registry.create_retriever("mine", {"b": 0.5}).params.b == 0.5
+    assert stage_keys(["sparse_x", "a", "b"]) == ("a", "sparse_x") and stage_keys(["sparse"]) == (None, "sparse")
+
+
+def test_small_helpers(spark):
+    from plumbline.operators import mining
+    from plumbline.sources import tables
+    from plumbline.timing import StageTimer, get_logger
+
+    assert get_logger("x") is get_logger("x") and len(get_logger("x").handlers) == 1 and StageTimer().elapsed() >= 0
+    assert tables.parse_languages(" en, ,de,") == ["en", "de"]
+    assert tables.metrics_split(" Dev ") == "dev"
+    with pytest.raises(ValueError):
+        tables.metrics_split("test")
+    more = spark.createDataFrame([("11001", "b", "x, y"), ("11000", "a", "")], "pubkey string, title string, authors string")
+    base = spark.createDataFrame([(4, "k", "t", ["z"])], "doc_idx long, pubkey string, title string, authors array<string>")
+    assert [(r.doc_idx, r.pubkey, r.authors) for r in tables.append_papers(base, more).orderBy("doc_idx").collect()] == [(4, "k", ["z"]), (5, "11000", []), (6, "11001", ["x", "y"])]
+    assert mining.missing_positives(papers(spark), said(spark).withColumn("pubkey", F.when(F.col("query_idx") == 1, "gone").otherwise(F.col("pubkey")))) == 1
+
+
+def test_containing_against_all_pairs(spark):
+    from plumbline.sources.tables import containing
+
+    texts = ["a b c d e f", "xa b c d ey", "a b c", "c", "", None, "a  b c d  e f g", "b c d e f g h\ni j"]
+    passages = ["a b c d e", "b c d", "", "c", "  ", "c d e f g h\ni", "zz", "a b c d e f g h", " b c d "]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    want = {(j, i) for i, t in enumerate(texts) if t is not None for j, p in enumerate(passages) if p in t}
+    got = [(r.item_id, r.doc_id) for r in containing(items, docs).collect()]
+    assert set(got) == want and len(got) == len(want)
