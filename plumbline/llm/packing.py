@@ -12,8 +12,8 @@ the piece lengths alone, so it has the same size for any corpus:
 
 A plan is a list of runs of alike sequences. A piece finds its place by its rank among the
 pieces of its length; ranks come from counts by (length, hash bucket) and a window inside. A
-length has a bucket for every ``BUCKET_ROWS`` of its pieces, so that no window grows with the
-corpus. Full pieces fill a sequence each and need no rank.
+length has as many buckets as a bucket has pieces, so that both grow with the root of their
+number only. Full pieces fill a sequence each and need no rank.
 
 Defined results: a null text is empty and is one piece, the end token; repeated rows are
 packed as often as they occur; no rows give no pieces. Texts with a run of 2,000 characters
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import json
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -42,8 +43,6 @@ from plumbline.llm.common import cut
 
 CAPACITY, END = 1024, 2
 GROUPS = 400
-#: Pieces of one length that one window ranks, nearly.
-BUCKET_ROWS = 1 << 16
 #: Longest run without white space that the fast encoder gets.
 _LONG_WORD = re.compile(r"\S{2000}")
 
@@ -247,7 +246,7 @@ def pack(cutted: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
         counts[r["length"]] = r["count"]
     plan = Plan(counts, capacity, groups)
     slots = plan.slots()
-    buckets = F.element_at(F.array(*(F.lit(int(-(-c // BUCKET_ROWS) or 1)) for c in counts[:capacity])), (F.col("length") + 1).cast("int"))
+    buckets = F.element_at(F.array(*(F.lit(max(1, math.isqrt(int(c)))) for c in counts[:capacity])), (F.col("length") + 1).cast("int"))
     short = found.where(F.col("length") < capacity).withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), buckets).cast("int"))
     sums = short.groupBy("length", "bucket").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))

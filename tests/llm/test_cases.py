@@ -253,8 +253,7 @@ def test_simhash_hot_fingerprint(spark):
     assert got == Counter({True: len(rows)})
 
 
-def test_packing_in_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr(packing, "BUCKET_ROWS", 3)
+def test_packing_in_many_buckets(spark):
     rng = random.Random(7)
     rows = [(i // 3, i, 0, rng.choice((1, 1, 1, 5, 60, 500, 1024, 1024)), i) for i in range(400)]
     cutted = spark.createDataFrame(rows, "id long, piece int, start long, length long, ids_crc32 long").withColumn("bucket", F.lit(1)).withColumn("rank", F.lit("clash"))
