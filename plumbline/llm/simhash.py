@@ -244,8 +244,8 @@ def _classes(prints: DataFrame, search, id_col: str) -> DataFrame:
     return join_unique(prints, classes, "print").select(F.col("id").alias(id_col), "print", "component")
 
 
-def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, piece: int | None = None) -> DataFrame:
     """``df`` with one row of each class of similar texts; see ``plumbline.llm.similar``."""
     from plumbline.llm import similar
 
-    return similar.drop_similar(df, id_col, text_col, shingle, similarity)
+    return similar.drop_similar(df, id_col, text_col, shingle, similarity, piece)

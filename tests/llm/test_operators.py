@@ -7,12 +7,13 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, automaton_dedup, chat, components, knn_join, mixing, packing, quality, queries, simhash, suffix_dedup, url_filter
+from plumbline.llm import ann, automaton_dedup, chat, components, knn_join, mixing, packing, quality, queries, similar, simhash, suffix_dedup, url_filter
 from plumbline.llm.common import cut
 from plumbline.llm.suffix_index import NOBODY, first_owners
 
@@ -262,8 +263,40 @@ def test_drop_similar_is_exact(spark):
                 if both / (len(a) + len(sets[j]) - both) >= similarity - 1e-12:
                     x, y = root[i], root[j]
                     root = [min(x, y) if r in (x, y) else r for r in root]
-        got = sorted(r.doc_id for r in simhash.drop_similar(df, similarity=similarity).collect())
-        assert got == sorted(set(root)), similarity
+        for piece in {0.7: (4,), 0.75: (None, 4), 0.8: (None,)}[similarity]:
+            got = sorted(r.doc_id for r in simhash.drop_similar(df, similarity=similarity, piece=piece).collect())
+            assert got == sorted(set(root)), (similarity, piece)
+
+
+def test_hot_lists_are_split(spark):
+    """500 texts share a prefix shingle without being similar: no task meets them all, no link is lost."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join([*passage, *(f"w{rng.randrange(10**9)}" for _ in range(6))]) for _ in range(500)]  # 26 of 38 shingles
+    near = [t.rsplit(" ", 2)[0] for t in texts[::50]]  # 30 of 32
+    df = documents(spark, [(i, t, "a") for i, t in enumerate([*texts, *near])]).repartition(5)
+    kept = {r.doc_id for r in simhash.drop_similar(df, piece=50).collect()}
+    assert kept == set(range(500))
+
+    limit = Fraction(4, 5)
+    nodes = cut(similar._nodes(df, "doc_id", "text"))
+    common = similar._common(nodes, 510, 5)
+    hot = similar._hot(nodes, 510, common, 5, limit, 50)
+    lists = cut(similar._lists(nodes, common, hot, 5, limit))
+    assert lists.groupBy("h").count().agg(F.max("count")).first()[0] >= 400
+    assert lists.groupBy("h", "part").count().agg(F.max("count")).first()[0] < 100
+    place = nodes.select("handle", F.xxhash64("node").alias("component"))
+    opened = similar._open(lists, place, 50)
+    sizes = opened.groupBy("h", "part").count()
+    assert sizes.agg(F.max("count")).first()[0] < 200
+    # every pair of a hot list is met once
+    longest = lists.groupBy("h").count().orderBy(F.desc("count")).first()
+    rows = opened.where(F.col("h") == longest["h"]).select("part", "handle", "side").collect()
+    by_part = defaultdict(list)
+    for r in rows:
+        by_part[r.part].append((r.handle, r.side))
+    met = Counter(tuple(sorted((a, b))) for members in by_part.values() for i, (a, x) in enumerate(members) for b, y in members[:i] if x < 0 or x != y)
+    assert len(met) == longest["count"] * (longest["count"] - 1) // 2 and set(met.values()) == {1}
 
 
 def test_every_pair_at_the_threshold_goes(spark):
