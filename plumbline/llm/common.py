@@ -42,6 +42,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def cut_and_release(df: DataFrame) -> DataFrame:
+    """``cut``, for the steps of a loop or a long chain: what ``df`` shuffled can go at once."""
+    spark = df.sparkSession
+    done = cut(df)
+    del df
+    release(spark)
+    return done
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
