@@ -22,7 +22,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar ones (five-word shingles, similarity 0.8)."""
+    """One document of each class of similar ones: SimHash, BK-trees, an exact check (five-word shingles, similarity 0.8)."""
     ship(spark)
     return simhash.drop_similar(docs)
 

@@ -55,7 +55,11 @@ def shingle_hashes(text: bytes | None, shingle: int = 3, seed: int = SEED) -> np
 
 def fingerprint(text: bytes | None, shingle: int = 3, words: int = 1) -> np.ndarray:
     """The fingerprint of ``64 * words`` bits; further words use remixed shingle hashes."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle), words)
+
+
+def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """The bits that over half of the hashes have set, in ``words`` words."""
     out = np.zeros(words, np.uint64)
     for w in range(words):
         set_in = np.zeros(64, np.int64)
@@ -135,6 +139,47 @@ class BKForest:
                         stack.append((np.repeat(query[part], c), child))
 
 
+    def _batches(self, queries: np.ndarray) -> Iterator[np.ndarray]:
+        """Runs of queries whose trees have a bounded number of nodes in all."""
+        total = np.cumsum(np.bincount(self.tree)[self.tree[queries]])
+        for part in np.split(queries, np.searchsorted(total, np.arange(4 * _CHUNK, total[-1], 4 * _CHUNK)) if len(queries) else []):
+            if len(part):
+                yield part
+
+    def _under(self, query: np.ndarray, node: np.ndarray, distance: np.ndarray, radius: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Each query with the children of its node whose keys are within the radius of the distance."""
+        low = np.searchsorted(self.edge, node * self.keys + np.maximum(distance - radius, 0))
+        count = np.searchsorted(self.edge, node * self.keys + np.minimum(distance + radius, self.keys - 1), "right") - low
+        child = self.order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        return np.repeat(query, count), child
+
+    def around(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, other node of its tree) within the radius; all of a query come together."""
+        for query in self._batches(queries):
+            hits, node = [], self.root[self.tree[query]]
+            while len(query):
+                distance = self._distance(query, node)
+                hit = (distance <= radius) & (query != node)
+                hits.append((query[hit], node[hit]))
+                query, node = self._under(query, node, distance, radius)
+            yield np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+
+    def nearest(self, radius: int) -> np.ndarray:
+        """The nearest earlier node of each node's tree within the radius, the first of several, or -1.
+        The search narrows to the least distance found."""
+        n = len(self.prints)
+        best = np.full(n, (radius + 1) * n)  # distance * n + node
+        for query in self._batches(np.arange(n)):
+            node = self.root[self.tree[query]]
+            while len(query):
+                earlier = node < query  # a child comes after its parent
+                query, node = query[earlier], node[earlier]
+                distance = self._distance(query, node)
+                np.minimum.at(best, query, distance * n + node)
+                query, node = self._under(query, node, distance, np.minimum(best[query] // max(n, 1), radius))
+        return np.where(best < (radius + 1) * n, best % max(n, 1), -1)
+
+
 def _forest_roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The smallest member of each member's set after joining all pairs."""
     root = np.arange(n)

@@ -1,26 +1,32 @@
-"""Exact near-dedup: texts whose sets of word shingles have a stated Jaccard similarity.
+"""Near-dedup by SimHash and BK-trees, exact at a stated Jaccard similarity of word shingles.
 
-Texts of equal words (A-Z count as a-z) first become one node. A prefix filter finds the
-candidates: with the shingles of all sets in one order, two sets of similarity s or more
+Texts of equal words (A-Z count as a-z) first become one node. Each node has a SimHash
+fingerprint of its set of shingles (256 bits). Shards: a prefix filter brings every pair that may
+be similar together; with the shingles of all sets in one order, two sets of similarity s or more
 share one of the first ``n - ceil(s * n) + 1`` shingles of each. The order is by hash, with
 the shingles that are common in a bounded sample of the nodes last (the order decides the
-cost only, never the result). A candidate is linked only if the shingles themselves, read
-from both texts, reach the similarity; hashes only route.
-
-A crowd of similar texts is not compared pair by pair: first each list of texts that share
-a prefix shingle is verified along a chain, which joins most of a crowd; then only the pairs
-of a list that are still in different components are verified, all of them. The components
-are those of all pairs at the similarity.
-
-A shingle may be in the prefix of a third of all nodes. Lists that a bounded sample shows to be
-long are hot: their chains are dealt in parts, and what these leave open is compared in pairs
-of blocks, each pair of blocks in a task of its own, so that no task holds a whole hot list. The
+cost only, never the result). The fingerprints of a shard form BK-trees, and only pairs that a
+tree finds within the radius are candidates. A candidate is linked only if the shingles
+themselves, read from both texts, reach the similarity.
+
+The radius (``search_radius``) is such that a pair at the similarity, of whatever sizes, is beyond it
+with a probability below ``MISS`` (1e-12): 96 of 256 bits at similarity 0.8, where unrelated
+texts differ in 128 on average. That is a bound under random hashes, not a proof for each pair.
+
+A crowd of similar texts is not compared pair by pair: first each node of a shard goes to its
+nearest earlier one, in trees of at most ``RUN`` nodes, which joins most of a crowd; then only
+the pairs of a shard that are still in different components are searched, all of them. The
+components are those of all pairs at the similarity.
+
+A shingle may be in the prefix of a third of all nodes. Shards that a bounded sample shows to be
+long are hot: their nodes are first dealt in parts, and what these leave open is searched in pairs
+of blocks, each pair of blocks in a task of its own, so that no task holds a whole hot shard. The
 sample decides the balance only, never the result.
 
-What the chains leave open is compared by parity bitmaps of the shingle sets, whose differing
-bits are at most the shingles that only one set has: a pair beyond the threshold's difference
-never leaves its task. First a row's few nearest go to the texts, which joins most of what is
-similar; only then all that are still in different components and within the bound.
+What is left open and within the radius is compared by parity bitmaps of the shingle sets, whose
+differing bits are at most the shingles that only one set has: a pair beyond the threshold's
+difference never leaves its task. First a row's few nearest go to the texts, which joins most of
+what is similar; only then all that are still in different components and within the bound.
 
 Defined results: a null or empty text has no words, and all such texts are one class; fewer
 words than a shingle form one shingle.
@@ -28,7 +34,9 @@ words than a shingle form one shingle.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -41,7 +49,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import HOT_ROWS, HOT_SHARE, as_bytes, cut_and_release, row_key, shuffle_partitions
 from plumbline.llm.components import connected_components
 from plumbline.llm.repeats import mixed
-from plumbline.llm.simhash import shingle_hashes
+from plumbline.llm.simhash import BKForest, majority, shingle_hashes
 
 #: Nodes whose shingles are counted, the count that makes one common, and the most kept.
 SAMPLE, COMMON, MOST_COMMON = 1 << 14, 3, 1 << 17
@@ -49,6 +57,8 @@ SAMPLE, COMMON, MOST_COMMON = 1 << 14, 3, 1 << 17
 HEAT_SAMPLE, MOST_ROWS = 1 << 12, 1 << 18
 #: 64-bit words of a parity bitmap, and the partners of a row in the first comparison.
 BITMAP, NEAREST = 16, 4
+#: 64-bit words of a fingerprint, the chance to miss a pair, and the most nodes in a first tree.
+PRINT, MISS, RUN = 4, 1e-12, 256
 _PAIRS = 1 << 20
 _ROW = "h long, handle long, size int, at int, part int"
 _OPEN = ("h", "handle", "size", "at", "part", "component", "side")
@@ -64,6 +74,35 @@ def shingles(words: bytes, shingle: int) -> set[bytes]:
     return {words[a:b] for a, b in zip(starts[: len(parts) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)}
 
 
+@functools.lru_cache
+def search_radius(similarity: Fraction) -> int:
+    """The least radius that a pair of that similarity exceeds with a probability below ``MISS``."""
+
+    def more(n: int, than: int) -> float:
+        """The chance that a sum of ``n`` signs is more than that."""
+        return sum(math.comb(n, k) for k in range(max((n + than) // 2 + 1, 0), n + 1)) / 2**n
+
+    def differ(common: int, x: int, y: int) -> float:
+        """The chance that a bit differs between sets with so many common and own shingles."""
+        out = 0.0
+        for k in range(common + 1):
+            p, q = more(x, common - 2 * k), more(y, common - 2 * k)
+            out += math.comb(common, k) / 2**common * (p * (1 - q) + q * (1 - p))
+        return out
+
+    # small sets differ most; large ones come near the angle between two equally large
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for common in range(1, 33):
+        most = (1 - similarity) * common // similarity
+        chance = max([chance, *(differ(common, x, own - x) for own in range(1, most + 1) for x in range(own // 2 + 1))])
+    bits, beyond = 64 * PRINT, 0.0
+    for radius in range(bits, -1, -1):
+        beyond += math.comb(bits, radius) * chance**radius * (1 - chance) ** (bits - radius)
+        if beyond >= MISS:
+            return radius
+    return 0
+
+
 def prefix(hashes: np.ndarray, common: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, int]:
     """(first hashes of a set in the common order, size of the set)."""
     hashes = np.unique(hashes)
@@ -214,19 +253,25 @@ def _may_reach(size_a, at_a, size_b, at_b, similarity: Fraction):
     return rest * (p + q) >= p * (size_a.astype(np.int64) + size_b)
 
 
-def _bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
-    """``(handle, bits)``: a bit for the parity of the shingles that it stands for."""
+def _marks(texts: DataFrame, shingle: int) -> DataFrame:
+    """``(handle, print, bits)``: the fingerprint of a set of shingles, and a bitmap with a bit for
+    the parity of the shingles that it stands for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = []
+            prints, bits = [], []
             for packed in batch.column(1):
                 hashes = np.unique(shingle_hashes(zstandard.decompress(packed.as_py()), shingle))
+                prints.append(majority(hashes, PRINT).tobytes())
                 odd = np.bincount((mixed(hashes) % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) % 2
                 bits.append(np.packbits(odd.astype(bool)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["handle", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(bits, pa.binary())], ["handle", "print", "bits"])
+
+    return texts.select("handle", "packed").mapInArrow(work, "handle long, print binary, bits binary")
+
 
-    return texts.select("handle", "packed").mapInArrow(work, "handle long, bits binary")
+def _words(column: pa.ChunkedArray, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
@@ -245,51 +290,63 @@ def _unsettled(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(lists: DataFrame, similarity: Fraction, nearest: int | None = None) -> DataFrame:
-    """Distinct candidates ``(a, b)`` of handles, from sorted lists: along a chain of each part
-    or, if lists have a ``component``, those within the bound that have different ones and, unless
-    it is -1, different ``side``: all, or only the ``nearest`` of a row."""
-    chain = "component" not in lists.columns
+    """Distinct candidates ``(a, b)`` of handles, from sorted lists with a ``print``: each row with
+    its nearest earlier one of its part or, if lists have a ``component``, those within the radius
+    and the bound of ``bits`` that have different ones and, unless it is -1, different ``side``:
+    all, or only the ``nearest`` of a row."""
     p, q = similarity.numerator, similarity.denominator
+    radius = search_radius(similarity)
 
-    def chained(table: pa.Table) -> Iterator[np.ndarray]:
+    def first(table: pa.Table) -> Iterator[np.ndarray]:
         h, handle, size, at, part = (table.column(c).to_numpy() for c in ("h", "handle", "size", "at", "part"))
         # neighbours in size; four orders among equal sizes, so that crowds mix
         mix = (handle ^ (h & 3)) * np.int64(-7046029254386353131)
         order = np.lexsort((mix, size, part, h))
         h, handle, size, at, part = (c[order] for c in (h, handle, size, at, part))
-        ok = (h[1:] == h[:-1]) & (part[1:] == part[:-1]) & _may_reach(size[1:], at[1:], size[:-1], at[:-1], similarity)
-        yield np.stack([handle[1:][ok], handle[:-1][ok]])
+        starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (part[1:] != part[:-1]))))
+        counts = np.diff(np.append(starts, len(h)))
+        place = np.arange(len(h)) - np.repeat(starts, counts)
+        tree = np.cumsum(place % RUN == 0)
+        near = BKForest(_words(table.column("print"), PRINT)[order], tree).nearest(radius)
+        i = np.flatnonzero(near >= 0)
+        j = near[i]
+        ok = _may_reach(size[i], at[i], size[j], at[j], similarity)
+        yield np.stack([handle[i[ok]], handle[j[ok]]])
 
     def apart(table: pa.Table) -> Iterator[np.ndarray]:
-        columns = [table.column(c).to_numpy() for c in ("handle", "size", "at", "component", "side")]
-        columns.append(np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP))
-        hot = table.column("part").to_numpy() >= 0
-        cuts = np.flatnonzero(np.concatenate(([True], _changes(table), [True])))
-        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            c = columns[3][low:high]
-            if (high - low < 3 and not hot[low]) or (c == c[0]).all():
-                continue
-            order = np.argsort(columns[1][low:high], kind="stable")
-            d, s, a, c, side, bits = (x[low:high][order] for x in columns)
-            # of a pair in different components, one is outside the largest
-            named, counts = np.unique(c, return_counts=True)
-            largest = c == named[np.argmax(counts)]
-            for i in np.flatnonzero(~largest).tolist():
-                first, stop = np.searchsorted(s, [-(-int(s[i]) * p // q), int(s[i]) * q // p + 1])
-                other = slice(int(first), int(stop))
-                ok = (c[other] != c[i]) & (largest[other] | (np.arange(first, stop) > i)) & ((side[i] < 0) | (side[other] != side[i]))
-                ok &= _may_reach(s[i], a[i], s[other], a[other], similarity)
-                j = first + np.flatnonzero(ok)
-                if not len(j):
-                    continue
-                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                both = s[j].astype(np.int64) + int(s[i])
-                close = (both - differ) * (p + q) >= 2 * p * both
-                j, differ = j[close], differ[close]
-                if nearest is not None and len(j) > nearest:
-                    j = j[np.argpartition(differ, nearest)[:nearest]]
-                if len(j):
-                    yield np.stack([np.full(len(j), d[i]), d[j]])
+        d, s, a, c, side = (table.column(x).to_numpy() for x in ("handle", "size", "at", "component", "side"))
+        bits = _words(table.column("bits"), BITMAP)
+        group = np.cumsum(np.concatenate(([0], _changes(table))))
+        # of a pair in different components, one is outside the largest
+        order = np.lexsort((c, group))
+        new = np.concatenate(([True], (c[order][1:] != c[order][:-1]) | (group[order][1:] != group[order][:-1])))
+        sizes = np.bincount(np.cumsum(new) - 1)
+        of = group[order][new]
+        best = np.lexsort((-sizes, of))
+        top = best[np.concatenate(([True], of[best][1:] != of[best][:-1]))]
+        largest = np.empty(len(c), bool)
+        largest[order] = np.isin(np.cumsum(new) - 1, top)
+        for i, j in BKForest(_words(table.column("print"), PRINT), group).around(np.flatnonzero(~largest), radius):
+            ok = (c[i] != c[j]) & (largest[j] | (j > i)) & ((side[i] < 0) | (side[i] != side[j]))
+            ok &= _may_reach(s[i], a[i], s[j], a[j], similarity)
+            i, j = i[ok], j[ok]
+            close, differ = [np.zeros(0, bool)], [np.zeros(0, np.int64)]
+            for low in range(0, len(i), 1 << 16):
+                x, y = i[low : low + (1 << 16)], j[low : low + (1 << 16)]
+                differ.append(np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64))
+                both = s[x].astype(np.int64) + s[y]
+                close.append((both - differ[-1]) * (p + q) >= 2 * p * both)
+            close, differ = np.concatenate(close), np.concatenate(differ)
+            i, j, differ = i[close], j[close], differ[close]
+            if nearest is not None and len(i):
+                order = np.lexsort((j, differ, i))
+                i, j = i[order], j[order]
+                starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+                few = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i)))) < nearest
+                i, j = i[few], j[few]
+            yield np.stack([d[i], d[j]])
+
+    find = apart if "component" in lists.columns else first
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -300,7 +357,7 @@ def _pairs(lists: DataFrame, similarity: Fraction, nearest: int | None = None) -
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
         for table in _groups(batches):
-            for pairs in (chained if chain else apart)(table):
+            for pairs in find(table):
                 held.append(pairs)
                 size += pairs.shape[1]
                 if size > _PAIRS:
@@ -364,15 +421,15 @@ def _keepers(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity
     common = _common(nodes, total, shingle)
     lists = cut_and_release(_lists(nodes, common, _hot(nodes, total, common, shingle, similarity, piece), shingle, similarity))
     texts = cut_and_release(nodes.select("handle", "node", "packed").join(lists.select("handle").distinct(), "handle", "left_semi"))
-    tried = cut_and_release(_pairs(lists, similarity))
+    marks = cut_and_release(_marks(texts, shingle))
+    tried = cut_and_release(_pairs(_dealt(lists.join(marks.select("handle", "print"), "handle")), similarity))
     found = cut_and_release(_verified(tried, texts, shingle, similarity))
     joined = cut_and_release(connected_components(found))
-    # what the chains left apart: the nearest, then all
+    # what the first trees left apart: the nearest, then all
     for nearest in (NEAREST, None):
         place = texts.join(joined, "node", "left").groupBy("handle").agg(F.min(F.xxhash64(F.coalesce("component", "node"))).alias("component"))
         opened = cut_and_release(_unsettled(_open(lists, place, piece)))
-        bits = _bitmaps(texts.join(opened.select("handle").distinct(), "handle", "left_semi"), shingle)
-        near = cut_and_release(_pairs(_dealt(opened.join(bits, "handle")), similarity, nearest))
+        near = cut_and_release(_pairs(_dealt(opened.join(marks, "handle")), similarity, nearest))
         if near.isEmpty():
             break
         left = cut_and_release(near.join(tried, ["a", "b"], "left_anti"))

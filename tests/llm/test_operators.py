@@ -268,6 +268,59 @@ def test_drop_similar_is_exact(spark):
             assert got == sorted(set(root)), (similarity, piece)
 
 
+def test_bk_trees_against_brute_force():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, (12, 4), np.uint64)
+    prints = np.repeat(base, 30, axis=0)
+    for _ in range(40):
+        prints ^= np.where(rng.random(prints.shape) < 0.4, np.uint64(1) << rng.integers(0, 64, prints.shape, np.uint64), np.uint64(0))
+    prints[5] = prints[3]
+    prints = prints[rng.permutation(len(prints))]
+    tree = np.sort(rng.integers(0, 5, len(prints)))
+    distance = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=np.int64)
+    forest = simhash.BKForest(prints, tree)
+    for radius in (0, 60, 96, 256):
+        near = (distance <= radius) & (tree[:, None] == tree[None]) & ~np.eye(len(prints), dtype=bool)
+        queries = np.flatnonzero(rng.random(len(prints)) < 0.5)
+        got = [(i, j) for a, b in forest.around(queries, radius) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert sorted(got) == [(i, j) for i in queries.tolist() for j in np.flatnonzero(near[i]).tolist()]
+        want = [min(((distance[i, j], j) for j in np.flatnonzero(near[i, :i])), default=(0, -1))[1] for i in range(len(prints))]
+        assert forest.nearest(radius).tolist() == want
+
+
+def test_search_radius_holds_all_pairs_at_the_similarity():
+    """Prints of 3000 pairs at similarity 0.8, of 4 to 900 shingles, are within the radius; of unlike sets, not."""
+    rng = np.random.default_rng(10)
+    radius = similar.search_radius(Fraction(4, 5))
+    for k in range(3000):
+        own = (1, 1, 2, 3, 20, 90)[k % 6]
+        x = int(rng.integers(0, own + 1))
+        hashes = rng.integers(0, 1 << 63, 10 * own, np.uint64) << np.uint64(1) ^ rng.integers(0, 2, 10 * own, np.uint64)
+        both, one, two, unlike = hashes[: 4 * own], hashes[4 * own : 4 * own + x], hashes[4 * own + x : 5 * own], hashes[5 * own :]
+        a, b, c = (simhash.majority(h, similar.PRINT) for h in (np.concatenate((both, one)), np.concatenate((both, two)), unlike))
+        assert np.bitwise_count(a ^ b).sum() <= radius
+        assert own < 20 or np.bitwise_count(a ^ c).sum() > radius - 10
+
+
+def test_all_similar_texts_were_found_by_bk_trees(spark, monkeypatch):
+    """Without the answers of the trees only texts of equal words go, with them the near ones too."""
+    rng = random.Random(15)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(30)]
+    rows = [*texts, *(t + " more" for t in texts), *(t.upper() for t in texts)]
+    docs = documents(spark, [(i, t, "a") for i, t in enumerate(rows)])
+    assert {r.doc_id for r in simhash.drop_similar(docs).collect()} == set(range(30))
+
+    class Blind(simhash.BKForest):
+        def around(self, queries, radius):
+            return iter(())
+
+        def nearest(self, radius):
+            return np.full(len(self.prints), -1)
+
+    monkeypatch.setattr(similar, "BKForest", Blind, raising=False)
+    assert {r.doc_id for r in simhash.drop_similar(docs).collect()} == set(range(60))
+
+
 def test_hot_lists_are_split(spark):
     """500 texts share a prefix shingle without being similar: no task meets them all, no link is lost."""
     rng = random.Random(12)
