@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
-from plumbline.operators.lexical import best, bm25_weight, corpus_stats, okapi_idf, padded, term_frequency
+from plumbline.operators import scan
+from plumbline.operators.lexical import LexicalParams, document_frequency, okapi_idf, padded, term_frequency
 from plumbline.session import cut
+from plumbline.sources.tables import picked
 
 DEPTH, K1, B = 10, 1.5, 0.75
 
@@ -26,22 +29,19 @@ def hard_negatives(collection: DataFrame, claims: DataFrame) -> DataFrame:
     not the label is taken. Articles join only the documents that were picked.
     """
     docs = collection.select("doc_idx", "pubkey", X.article_text(F.col("title"), F.col("abstract")).alias("article"))
-    wanted = proxy_texts(claims).join(docs.select("pubkey", F.col("article").alias("positive")), "pubkey")
+    wanted = proxy_texts(claims).join(picked(docs, claims, "pubkey").select("pubkey", F.col("article").alias("positive")), "pubkey")
     keys = cut(wanted.select("search_text", "pubkey").distinct()).withColumn("query_idx", F.monotonically_increasing_id())
-    tokenised = cut(docs.select("doc_idx", X.whitespace_terms(F.col("article")).alias("tokens")))
-    postings = cut(term_frequency(tokenised, "doc_idx"))
-    corpus = corpus_stats(tokenised)
-    counted = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus.select("n")))
-    terms = okapi_idf(counted, F.col("n"))
-    asked = term_frequency(keys.select("query_idx", X.whitespace_terms(F.col("search_text")).alias("tokens")), "query_idx").withColumnRenamed("tf", "qtf")
-    lengths = tokenised.select("doc_idx", F.size("tokens").alias("dl"))
-    rows = postings.join(asked.join(terms, "term"), "term").join(lengths, "doc_idx").join(F.broadcast(corpus))
-    weight = F.col("qtf") * bm25_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), K1, B)
-    scores = rows.groupBy("query_idx", "doc_idx").agg(F.sum(weight).alias("score"))
-    ranked = padded(best(scores, DEPTH), keys, docs, DEPTH)
-    wrong = ranked.join(docs.select("doc_idx", F.col("pubkey").alias("key")), "doc_idx").join(keys, "query_idx").where(F.col("key") != F.col("pubkey"))
-    picked = wrong.groupBy("search_text", "pubkey").agg(F.min_by("doc_idx", "rank").alias("doc_idx"))
-    negatives = picked.join(docs.select("doc_idx", F.col("article").alias("negative")), "doc_idx").where("negative <> ''")
+    tokenised = docs.select("doc_idx", X.whitespace_terms(F.col("article")).alias("tokens"))
+    asked = scan.Asked.of(term_frequency(keys.select("query_idx", X.whitespace_terms(F.col("search_text")).alias("tokens")), "query_idx").withColumnRenamed("tf", "qtf"))
+    found = scan.find(tokenised, asked.term)
+    terms = okapi_idf(document_frequency(tokenised), F.lit(found.stats[0]))
+    held = terms.join(F.broadcast(keys.sparkSession.createDataFrame([(t,) for t in found.terms], "term string")), "term").select("term", "idf").toArrow().to_pandas()
+    weights = dict(zip(held["term"], held["idf"], strict=True))
+    idf = np.array([weights.get(t, 0.0) for t in found.terms])
+    ranked = padded(scan.top(found, asked, LexicalParams(k1=K1, b=B), DEPTH, idf=idf), keys, docs, DEPTH)
+    wrong = ranked.join(picked(docs, ranked).select("doc_idx", F.col("pubkey").alias("key")), "doc_idx").join(keys, "query_idx").where(F.col("key") != F.col("pubkey"))
+    chosen = wrong.groupBy("search_text", "pubkey").agg(F.min_by("doc_idx", "rank").alias("doc_idx"))
+    negatives = chosen.join(picked(docs, chosen).select("doc_idx", F.col("article").alias("negative")), "doc_idx").where("negative <> ''")
     out = wanted.join(negatives.withColumnRenamed("doc_idx", "negative_idx"), ["search_text", "pubkey"])
     return out.select("lang", "query_idx", F.col("text").alias("anchor"), "positive", "negative", "negative_idx")
 
